@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.llm import nearest, percentiles
+from beatloom.llm import nearest, packing, percentiles, tokens
+from beatloom.session import ensure_checkpoint_dir
 from beatloom.sources.tables import table
 
 ENTITY, RUN = ["record", "session_id"], ["detector"]
@@ -68,7 +69,25 @@ def p2_combined(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.combine(parts, ["label"], SHARES, points=50).withColumn("value", F.round("value", 9))
 
 
-QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p2_percentiles": p2_percentiles, "p2_combined": p2_combined}
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    ensure_checkpoint_dir(spark)
+    sizes = tokens.token_counts(table(spark, folder, "documents", "doc_id", "text"), ["doc_id"], "text").checkpoint()
+    kinds = table(spark, folder, "pack_sizes", "pack_id", "capacity_tokens")
+    return packing.pack(sizes, ["doc_id"], "n_tokens", kinds, "pack_id", "capacity_tokens"), kinds
+
+
+def p6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of each document, or of each piece of a longer one, for each capacity."""
+    return _packed(spark, folder)[0]
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    packed, kinds = _packed(spark, folder)
+    return packing.fill_report(packed, kinds, "pack_id", "capacity_tokens")
+
+
+QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p2_percentiles": p2_percentiles, "p2_combined": p2_combined, "p6_packing": p6_packing, "p6_fill": p6_fill}
 
 _COST = """
 WITH c AS (SELECT DISTINCT run_id, record, detector_label, run_day, best_s, median_s, best_s_per_min, median_s_per_min FROM detector_cost),
