@@ -49,66 +49,86 @@ def nearest_pairs(left: DataFrame, right: DataFrame, entity: list[str], left_id:
     return best.select(*entity, *left_id, F.col("__best.r").alias(right_id), F.col("__best.d").alias("distance"))
 
 
-def constant_delay(left: DataFrame, right: DataFrame, entity: list[str], run: list[str], left_time: str, right_time: str, longest: float = 0.6, width: float = 0.005) -> DataFrame:
-    """The constant delay (0 to ``longest`` seconds) of each run of ``left`` behind ``right``: ``entity``, ``run``, ``delay``.
+def _micros(c: Column) -> Column:
+    return F.round(c * F.lit(1e6)).cast("long")
 
+
+def _ticks_of(df: DataFrame, time: str, low: int, high: int, tick: int) -> DataFrame:
+    """Copies of each row for the ticks from ``time + low`` to ``time + high`` (integers)."""
+    tick_of = lambda c: F.floor(c / F.lit(tick))
+    return df.withColumn("__tick", F.explode(F.sequence(tick_of(F.col(time) + low), tick_of(F.col(time) + high))))
+
+
+def constant_delay(left: DataFrame, right_ticks: DataFrame, entity: list[str], run: list[str], tick: int, longest: int = 600_000, width: int = 5_000) -> DataFrame:
+    """The constant delay (0 to ``longest``) of each run of ``left`` behind the right side: ``entity``, ``run``, ``__delay``.
+
+    ``left`` has ``__lid`` and ``__l``, ``right_ticks`` has ``__rid``, ``__r`` and ``__tick``; all times are microseconds.
     Differences of all pairs that the delay allows are counted in bins of ``width``; the mode of the counts, smoothed
     over nine bins, is refined three times to the mean of the differences around it. Ties go to the shorter delay.
     Runs without any pair have no row.
     """
     key = [*entity, *run]
-    slack = 0.05
-    pairs = tick_pairs(left.select(*key, F.col(left_time).alias("__lt")), right.select(*entity, F.col(right_time).alias("__rt")), entity, "__lt", "__rt", -slack, longest + slack, longest + 2 * slack)
-    diffs = pairs.select(*key, (F.col("__lt") - F.col("__rt")).alias("__d")).withColumn("__bin", F.floor(F.col("__d") / width))
+    slack = 50_000
+    pairs = _ticks_of(left, "__l", -longest - slack, slack, tick).join(right_ticks, [*entity, "__tick"])
+    apart = F.col("__l") - F.col("__r")
+    # A pair that meets in several ticks, or was sent twice, counts once.
+    diffs = pairs.where(apart.between(-slack, longest + slack)).select(*key, "__lid", "__rid", apart.alias("__d")).repartition(*key).dropDuplicates([*key, "__lid", "__rid"])
+    diffs = diffs.withColumn("__bin", F.floor(F.col("__d") / width))
     whole = Window.partitionBy(*key)
-    near_bins = whole.orderBy("__bin").rangeBetween(-4, 4)
-    counted = diffs.withColumn("__n", F.count("*").over(near_bins))
+    counted = diffs.withColumn("__n", F.count("*").over(whole.orderBy("__bin").rangeBetween(-4, 4)))
     centre = (F.col("__bin") + 0.5) * width
     allowed = (centre >= 0) & (centre <= longest + width)
     mode = F.max(F.when(allowed, F.struct(F.col("__n"), (-centre).alias("c")))).over(whole)
     found = counted.withColumn("__m", -mode["c"])
-    for reach in (0.05, 0.04, 0.04):
+    for reach in (50_000, 40_000, 40_000):
         found = found.withColumn("__m", F.avg(F.when(F.abs(F.col("__d") - F.col("__m")) <= reach, F.col("__d"))).over(whole))
-    return found.groupBy(*key).agg(F.first("__m").alias("delay")).where(F.col("delay").isNotNull())
+    return found.groupBy(*key).agg(F.round(F.first("__m")).cast("long").alias("__delay")).where(F.col("__delay").isNotNull())
 
 
-def greedy_matches(pairs: DataFrame, run: list[str], left_id: str, right_id: str, left_time: str, right_time: str) -> DataFrame:
+def greedy_matches(pairs: DataFrame, run: list[str]) -> DataFrame:
     """Of the pairs of each run the closest first, each record at most once; ties go to the lower right, then left id.
 
+    ``pairs`` has ``__lid``, ``__rid``, ``__r`` (the right time) and ``__d`` (left minus right time), whole numbers.
     Pairs of a run that share a record overlap in time, so sorting a run's pairs by time cuts it into islands of
     overlapping pairs, which are matched one by one; an island is as long as beats go on without a pause of the
-    tolerance's length, which is nearly always one pair. Columns: ``run``, ``right_id``, ``left_id``. Repeated pairs
+    tolerance's length, which is nearly always one pair. Columns: ``run``, ``__rid``, ``__lid``. Repeated pairs
     count once.
     """
-    start, stop = F.least(F.col(left_time), F.col(right_time)), F.greatest(F.col(left_time), F.col(right_time))
+    start, stop = F.col("__r") + F.least(F.col("__d"), F.lit(0)), F.col("__r") + F.greatest(F.col("__d"), F.lit(0))
     order = Window.partitionBy(*run).orderBy("__start")
-    spans = pairs.select(*run, F.col(left_id).alias("__l"), F.col(right_id).alias("__r"), start.alias("__start"), stop.alias("__stop"), F.round(stop - start, 9).alias("__d"))
+    spans = pairs.select(*run, "__lid", "__rid", start.alias("__start"), stop.alias("__stop"), F.abs("__d").alias("__d"))
     reach = F.max("__stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.withColumn("__new", (reach.isNull() | (F.col("__start") > reach + EPS)).cast("int"))
+    opened = spans.withColumn("__new", (reach.isNull() | (F.col("__start") > reach)).cast("int"))
     islands = opened.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    pair = F.struct(F.col("__d"), F.col("__r"), F.col("__l"))
-    lists = islands.groupBy(*run, "__island").agg(F.collect_set(pair).alias("__pairs"))
+    lists = islands.groupBy(*run, "__island").agg(F.collect_set(F.struct("__d", "__rid", "__lid")).alias("__pairs"))
 
     def step(taken: Column, p: Column) -> Column:
-        free = ~F.exists(taken, lambda q: (q["__r"] == p["__r"]) | (q["__l"] == p["__l"]))
+        free = ~F.exists(taken, lambda q: (q["__rid"] == p["__rid"]) | (q["__lid"] == p["__lid"]))
         return F.when(free, F.concat(taken, F.array(p))).otherwise(taken)
 
     nothing = F.filter("__pairs", lambda p: F.lit(False))
     chosen = F.when(F.size("__pairs") == 1, F.col("__pairs")).otherwise(F.aggregate(F.array_sort("__pairs"), nothing, step))
-    return lists.select(*run, F.explode(chosen).alias("__p")).select(*run, F.col("__p.__r").alias(right_id), F.col("__p.__l").alias(left_id))
+    return lists.select(*run, F.explode(chosen).alias("__p")).select(*run, "__p.__rid", "__p.__lid")
 
 
 def match_runs(left: DataFrame, right: DataFrame, entity: list[str], run: list[str], left_id: str, right_id: str, left_time: str, right_time: str, delay: str, tolerance: float) -> DataFrame:
     """One-to-one matches of each run of ``left`` with ``right``, the run's delay taken off; see greedy_matches.
 
     ``delay`` is a column of ``left``, constant over a run; where it is null (or NaN) it is estimated by constant_delay.
+    Times are compared in whole microseconds. Ticks are eight tolerances wide, so few right records need a second copy,
+    and both joins read the same copies. Columns: ``entity``, ``run``, ``right_id``, ``left_id``.
     """
     key = [*entity, *run]
-    slim = left.select(*key, F.col(left_id).alias("__lid"), F.col(left_time).cast("double").alias("__lt"), F.when(~F.isnan(F.col(delay)), F.col(delay)).cast("double").alias("__delay")).where(F.col("__lid").isNotNull() & _finite("__lt"))
-    r_rows = right.select(*entity, F.col(right_id).alias("__rid"), F.col(right_time).cast("double").alias("__rt")).where(F.col("__rid").isNotNull() & _finite("__rt"))
+    reach = round(tolerance * 1e6)
+    tick = 8 * reach
+    slim = left.where(F.col(left_id).isNotNull() & _finite(left_time)).select(*key, F.col(left_id).alias("__lid"), _micros(F.col(left_time)).alias("__l"), _micros(F.when(~F.isnan(F.col(delay)), F.col(delay))).alias("__delay"))
+    r_rows = right.where(F.col(right_id).isNotNull() & _finite(right_time)).select(*entity, F.col(right_id).alias("__rid"), _micros(F.col(right_time)).alias("__r"))
+    right_ticks = _ticks_of(r_rows, "__r", -reach, reach, tick)
     known = slim.where(F.col("__delay").isNotNull())
     blank = slim.where(F.col("__delay").isNull()).drop("__delay")
-    delays = constant_delay(blank, r_rows, entity, run, "__lt", "__rt").withColumnRenamed("delay", "__delay")
-    placed = known.unionByName(blank.join(delays, key)).withColumn("__at", F.col("__lt") - F.col("__delay")).drop("__lt", "__delay")
-    pairs = tick_pairs(placed, r_rows, entity, "__at", "__rt", -tolerance, tolerance, 2 * tolerance)
-    return greedy_matches(pairs, key, "__lid", "__rid", "__at", "__rt").withColumnsRenamed({"__lid": left_id, "__rid": right_id})
+    delays = constant_delay(blank, right_ticks, entity, run, tick)
+    placed = known.unionByName(blank.join(delays, key)).select(*key, "__lid", (F.col("__l") - F.col("__delay")).alias("__l"))
+    pairs = placed.withColumn("__tick", F.floor(F.col("__l") / F.lit(tick))).join(right_ticks, [*entity, "__tick"])
+    apart = F.col("__l") - F.col("__r")
+    near = pairs.where(apart.between(-reach, reach)).select(*key, "__lid", "__rid", "__r", apart.cast("int").alias("__d"))
+    return greedy_matches(near, key).withColumnsRenamed({"__lid": left_id, "__rid": right_id})
