@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.llm import nearest, packing, percentiles, tokens
+from beatloom.llm import language, nearest, packing, percentiles, tokens
 from beatloom.session import ensure_checkpoint_dir
 from beatloom.sources.tables import table
 
@@ -87,7 +87,33 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packed, kinds, "pack_id", "capacity_tokens")
 
 
-QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p2_percentiles": p2_percentiles, "p2_combined": p2_combined, "p6_packing": p6_packing, "p6_fill": p6_fill}
+def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Each page's stretches of one language, in reading order, with confidence."""
+    pages = table(spark, folder, "documents", "doc_id", "text", "lang", "line_boxes")
+    model = language.fit(pages, "doc_id", "text", "lang")
+    return language.language_segments(pages, ["doc_id"], "text", "line_boxes", model)
+
+
+def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages of each page with their words and confidence."""
+    return language.page_languages(p8_segments(spark, folder), ["doc_id"])
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.label_cases(p8_documents(spark, folder), table(spark, folder, "documents", "doc_id", "lang"), ["doc_id"], "lang")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_nearest": p1_nearest,
+    "p2_percentiles": p2_percentiles,
+    "p2_combined": p2_combined,
+    "p6_packing": p6_packing,
+    "p6_fill": p6_fill,
+    "p8_found": p8_found,
+    "p8_documents": p8_documents,
+    "p8_segments": p8_segments,
+}
 
 _COST = """
 WITH c AS (SELECT DISTINCT run_id, record, detector_label, run_day, best_s, median_s, best_s_per_min, median_s_per_min FROM detector_cost),
