@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.llm import language, nearest, packing, percentiles, tokens
+from beatloom.llm import language, leakage, nearest, packing, percentiles, tokens
 from beatloom.session import ensure_checkpoint_dir
 from beatloom.sources.tables import table
 
@@ -87,6 +87,21 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packed, kinds, "pack_id", "capacity_tokens")
 
 
+def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Each page's leaked items with the most words in a row it holds of each."""
+    pages, items = table(spark, folder, "documents", "doc_id", "text", "line_boxes"), table(spark, folder, "eval_items", "item_id", "passage")
+    return leakage.leaked_items(pages, "doc_id", "text", "line_boxes", items, "item_id", "passage")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_spans(spark, folder).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Which evaluation items leaked, and onto how many pages."""
+    return p7_spans(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_pages"), F.max("n_words").alias("most_words"))
+
+
 def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Each page's stretches of one language, in reading order, with confidence."""
     pages = table(spark, folder, "documents", "doc_id", "text", "lang", "line_boxes")
@@ -110,6 +125,9 @@ QUERIES = {
     "p2_combined": p2_combined,
     "p6_packing": p6_packing,
     "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_spans": p7_spans,
+    "p7_items": p7_items,
     "p8_found": p8_found,
     "p8_documents": p8_documents,
     "p8_segments": p8_segments,
