@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beatloom.plans import problems
+from beatloom.plans import hrv_queries, problems
 
-MODULES = [problems]
-FLAGSHIP = "p5_grid"
+MODULES = [problems, hrv_queries]
+FLAGSHIP = "h1_time_domain"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
