@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beatloom.plans import hrv_queries, problems
+from beatloom.plans import analysis_queries, hrv_queries, matching_queries, problems, signal_queries
 
-MODULES = [problems, hrv_queries]
+MODULES = [problems, hrv_queries, signal_queries, matching_queries, analysis_queries]
 FLAGSHIP = "h1_time_domain"
 
 
