@@ -75,7 +75,7 @@ def pack(items: DataFrame, keys: list[str], length: str, kinds: DataFrame, kind:
     ``kinds`` has one row for each kind of container; it is small by nature (a handful of capacities), and so is the
     plan: at most a few rows for each length up to the capacity. Both are broadcast.
     """
-    parts = pieces(items.crossJoin(F.broadcast(kinds.select(kind, capacity))), keys, length, capacity)
+    parts = pieces(items.select(*keys, length).crossJoin(F.broadcast(kinds.select(kind, capacity))), keys, length, capacity)
     salt = F.pmod(F.xxhash64(*keys, "piece"), F.lit(salts)).cast("int")
     parts = parts.select(kind, F.col(capacity).cast("long").alias("__capacity"), *keys, "piece", "start", "size", salt.alias("__salt"))
     counts = parts.groupBy(kind, "__capacity", "size", "__salt").agg(F.count("*").alias("__n"))
