@@ -12,8 +12,8 @@ def real(c: Column) -> Column:
 
 
 def six(c: Column, name: str) -> Column:
-    """The value with six decimals, null where it is no real number."""
-    return F.round(real(c.cast("double")), 6).alias(name)
+    """The value with six decimals (never -0.0), null where it is no real number."""
+    return (F.round(real(c.cast("double")), 6) + F.lit(0.0)).alias(name)
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -47,9 +47,9 @@ def time_domain(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def poincare(df: DataFrame, keys: list[str]) -> DataFrame:
     """sd1, sd2 and their ratio; from 10 intervals on."""
-    g = with_difference(df, keys).groupBy(*keys).agg(F.count("*").alias("n_intervals"), F.stddev_samp(_ms()).alias("s"), F.stddev_samp("d").alias("sd"))
-    sd1 = F.sqrt(F.lit(0.5)) * F.col("sd")
-    square = 2.0 * F.col("s") * F.col("s") - sd1 * sd1
+    g = with_difference(df, keys).groupBy(*keys).agg(F.count("*").alias("n_intervals"), F.stddev_samp(_ms()).alias("__s"), F.stddev_samp("d").alias("__sd"))
+    sd1 = F.sqrt(F.lit(0.5)) * F.col("__sd")
+    square = 2.0 * F.col("__s") * F.col("__s") - sd1 * sd1
     sd2 = F.when(square > 0, F.sqrt(square))
     enough = F.col("n_intervals") >= 10
     return g.select(*keys, "n_intervals", F.when(enough, sd1).alias("sd1"), F.when(enough, sd2).alias("sd2"), F.when(enough, ratio(sd1, sd2)).alias("sd1_sd2"))
@@ -78,14 +78,14 @@ def dfa_alpha1(df: DataFrame, keys: list[str], scales: tuple[int, int] = (4, 16)
     """Short-term detrended fluctuation exponent: slope of ln F(s) on ln s for the whole scales given."""
     whole = Window.partitionBy(*keys)
     ordered = whole.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    centred = df.withColumn("c", F.col("ibi_s") - F.avg("ibi_s").over(whole)).withColumn("many", F.count("*").over(whole))
-    profile = centred.withColumn("y", F.sum("c").over(ordered)).where(F.col("many") >= least)
-    spread = profile.withColumn("s", F.explode(F.sequence(F.lit(scales[0]), F.lit(scales[1])))).withColumn("seg", F.floor(F.col("n") / F.col("s")))
-    inside = spread.where(F.col("seg") < F.floor(F.col("many") / F.col("s"))).withColumn("p", (F.col("n") - F.col("seg") * F.col("s")).cast("double"))
-    fits = inside.groupBy(*keys, "s", "seg").agg(F.regr_syy("y", "p").alias("syy"), F.regr_sxy("y", "p").alias("sxy"), F.regr_sxx("y", "p").alias("sxx"))
-    residual = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0)) / F.col("s")
-    fluct = fits.groupBy(*keys, "s").agg(F.sqrt(F.avg(residual)).alias("f")).where(F.col("f") > 0)
-    return fluct.groupBy(*keys).agg(F.count("*").alias("n_scales"), F.regr_slope(F.log("f"), F.log("s")).alias("slope")).select(*keys, "n_scales", F.when(F.col("n_scales") >= 3, F.col("slope")).alias("dfa_alpha1"))
+    centred = df.withColumn("__c", F.col("ibi_s") - F.avg("ibi_s").over(whole)).withColumn("__many", F.count("*").over(whole))
+    profile = centred.withColumn("__y", F.sum("__c").over(ordered)).where(F.col("__many") >= least)
+    spread = profile.withColumn("__s", F.explode(F.sequence(F.lit(scales[0]), F.lit(scales[1])))).withColumn("__seg", F.floor(F.col("n") / F.col("__s")))
+    inside = spread.where(F.col("__seg") < F.floor(F.col("__many") / F.col("__s"))).withColumn("__p", (F.col("n") - F.col("__seg") * F.col("__s")).cast("double"))
+    fits = inside.groupBy(*keys, "__s", "__seg").agg(F.regr_syy("__y", "__p").alias("syy"), F.regr_sxy("__y", "__p").alias("sxy"), F.regr_sxx("__y", "__p").alias("sxx"))
+    residual = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0)) / F.col("__s")
+    fluct = fits.groupBy(*keys, "__s").agg(F.sqrt(F.avg(residual)).alias("__f")).where(F.col("__f") > 0)
+    return fluct.groupBy(*keys).agg(F.count("*").alias("n_scales"), F.regr_slope(F.log("__f"), F.log("__s")).alias("slope")).select(*keys, "n_scales", F.when(F.col("n_scales") >= 3, F.col("slope")).alias("dfa_alpha1"))
 
 
 def lomb_scargle(df: DataFrame, keys: list[str], low: float = 0.01, high: float = 0.5, steps: int = 500, least: int = 20, span_s: float = 60.0) -> DataFrame:

@@ -33,39 +33,39 @@ def grid_delay(ref: DataFrame, test: DataFrame, entity: list[str], run: list[str
     where at least three are near. Runs of fewer than 3 beats, or without any pair, have delay 0.
     """
     key = [*entity, *run]
-    pairs = band_join(ref, test, entity, -0.10 - near, 0.60 + near).withColumn("d", F.col("tt") - F.col("rt"))
-    first, last = F.ceil((F.col("d") - near + 0.10) / 0.005 - 1e-6), F.floor((F.col("d") + near + 0.10) / 0.005 + 1e-6)
-    on_grid = pairs.withColumn("g", F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(139)).cast("int"))))
-    votes = on_grid.where(F.col("g").between(0, 139)).groupBy(*key, "g").agg(F.countDistinct("ref_idx").alias("n"))
-    best = votes.groupBy(*key).agg(F.max(F.struct("n", (-F.col("g")).alias("m"))).alias("b")).select(*key, (-F.col("b.m") * 0.005 - 0.10).alias("coarse"))
-    rest = pairs.join(best, key).withColumn("r", F.round(F.col("d") - F.col("coarse"), 9))
-    nearest = rest.groupBy(*key, "coarse", "ref_idx").agg(F.min(F.struct(F.abs("r").alias("a"), "r")).alias("m"))
-    fine = nearest.where(F.col("m.a") <= near).groupBy(*key, "coarse").agg(F.count("*").alias("n"), F.median("m.r").alias("shift"))
-    known = fine.select(*key, (F.col("coarse") + F.when(F.col("n") >= 3, F.col("shift")).otherwise(0.0)).alias("delay"))
+    pairs = band_join(ref, test, entity, -0.10 - near, 0.60 + near).withColumn("__d", F.col("tt") - F.col("rt"))
+    first, last = F.ceil((F.col("__d") - near + 0.10) / 0.005 - 1e-6), F.floor((F.col("__d") + near + 0.10) / 0.005 + 1e-6)
+    on_grid = pairs.withColumn("__g", F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(139)).cast("int"))))
+    votes = on_grid.where(F.col("__g").between(0, 139)).groupBy(*key, "__g").agg(F.countDistinct("ref_idx").alias("__n"))
+    best = votes.groupBy(*key).agg(F.max(F.struct("__n", (-F.col("__g")).alias("__m"))).alias("__b")).select(*key, (-F.col("__b.__m") * 0.005 - 0.10).alias("__coarse"))
+    rest = pairs.join(best, key).withColumn("__r", F.round(F.col("__d") - F.col("__coarse"), 9))
+    nearest = rest.groupBy(*key, "__coarse", "ref_idx").agg(F.min(F.struct(F.abs("__r").alias("a"), "__r")).alias("__m"))
+    fine = nearest.where(F.col("__m.a") <= near).groupBy(*key, "__coarse").agg(F.count("*").alias("__n"), F.median("__m.__r").alias("__shift"))
+    known = fine.select(*key, (F.col("__coarse") + F.when(F.col("__n") >= 3, F.col("__shift")).otherwise(0.0)).alias("delay"))
     sizes = test.groupBy(*key).agg(F.count("*").alias("n_test"))
     return sizes.join(known, key, "left").select(*key, F.when(F.col("n_test") >= 3, F.coalesce("delay", F.lit(0.0))).otherwise(0.0).alias("delay"))
 
 
 def one_to_one(pairs: DataFrame, run: list[str]) -> DataFrame:
-    """Of a run's pairs (``d``, ``ref_idx``, ``test_idx``) the closest first, each beat once: a fold over the sorted pairs.
+    """Of a run's pairs (``__d``, ``ref_idx``, ``test_idx``) the closest first, each beat once: a fold over the sorted pairs.
 
     A run is one detector on one session; its pairs within the tolerance are about as many as its beats.
     """
-    lists = pairs.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("d", "ref_idx", "test_idx"))).alias("p"))
+    lists = pairs.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("__d", "ref_idx", "test_idx"))).alias("__p"))
 
     def step(acc: Column, p: Column) -> Column:
         free = ~F.array_contains(acc["r"], p["ref_idx"]) & ~F.array_contains(acc["t"], p["test_idx"])
-        return F.when(free, F.struct(F.array_append(acc["r"], p["ref_idx"]).alias("r"), F.array_append(acc["t"], p["test_idx"]).alias("t"), F.array_append(acc["d"], p["d"]).alias("d"))).otherwise(acc)
+        return F.when(free, F.struct(F.array_append(acc["r"], p["ref_idx"]).alias("r"), F.array_append(acc["t"], p["test_idx"]).alias("t"), F.array_append(acc["d"], p["__d"]).alias("d"))).otherwise(acc)
 
     none = F.struct(F.array().cast("array<bigint>").alias("r"), F.array().cast("array<bigint>").alias("t"), F.array().cast("array<double>").alias("d"))
-    done = lists.withColumn("m", F.aggregate("p", none, step))
-    return done.select(*run, F.explode(F.arrays_zip("m.r", "m.t", "m.d")).alias("z")).select(*run, F.col("z.r").alias("ref_idx"), F.col("z.t").alias("test_idx"), F.col("z.d").alias("distance"))
+    done = lists.withColumn("__m", F.aggregate("__p", none, step))
+    return done.select(*run, F.explode(F.arrays_zip("__m.r", "__m.t", "__m.d")).alias("__z")).select(*run, F.col("__z.r").alias("ref_idx"), F.col("__z.t").alias("test_idx"), F.col("__z.d").alias("distance"))
 
 
 def match(ref: DataFrame, test: DataFrame, entity: list[str], run: list[str], tolerance: float) -> DataFrame:
     """Matches of ``test`` (``tt`` with the delay taken off) with ``ref``."""
     near = band_join(ref, test, entity, -tolerance, tolerance)
-    pairs = near.select(*entity, *run, F.round(F.abs(F.col("tt") - F.col("rt")), 9).alias("d"), "ref_idx", "test_idx")
+    pairs = near.select(*entity, *run, F.round(F.abs(F.col("tt") - F.col("rt")), 9).alias("__d"), "ref_idx", "test_idx")
     return one_to_one(pairs, [*entity, *run])
 
 
@@ -88,8 +88,8 @@ def paired_intervals(matches: DataFrame, ref: DataFrame, test: DataFrame, entity
     key = [*entity, *run]
     placed = matches.select(*key, "ref_idx", "test_idx").join(ref.select(*entity, "ref_idx", "rt", "rk"), [*entity, "ref_idx"]).join(test.select(*key, "test_idx", "tt", "tk"), [*key, "test_idx"])
     w = Window.partitionBy(*key).orderBy("rk")
-    nxt = placed.select(*key, "ref_idx", (F.lead("rt").over(w) - F.col("rt")).alias("rr_s"), (F.lead("tt").over(w) - F.col("tt")).alias("pp_s"), (F.lead("rk").over(w) - F.col("rk")).alias("dr"), (F.lead("tk").over(w) - F.col("tk")).alias("dt"))
-    return nxt.where((F.col("dr") == 1) & (F.col("dt") == 1)).select(*key, "ref_idx", "rr_s", "pp_s")
+    nxt = placed.select(*key, "ref_idx", (F.lead("rt").over(w) - F.col("rt")).alias("rr_s"), (F.lead("tt").over(w) - F.col("tt")).alias("pp_s"), (F.lead("rk").over(w) - F.col("rk")).alias("__dr"), (F.lead("tk").over(w) - F.col("tk")).alias("__dt"))
+    return nxt.where((F.col("__dr") == 1) & (F.col("__dt") == 1)).select(*key, "ref_idx", "rr_s", "pp_s")
 
 
 def interval_error(pairs: DataFrame, key: list[str]) -> DataFrame:
@@ -103,17 +103,17 @@ def interval_error(pairs: DataFrame, key: list[str]) -> DataFrame:
 def bland_altman(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     """Bias and limits of agreement of ``b - a``; null with fewer than 3 pairs, the number kept."""
     d = F.col(b) - F.col(a)
-    g = df.where(d.isNotNull() & ~F.isnan(d)).groupBy(*key).agg(F.count("*").alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"))
+    g = df.where(d.isNotNull() & ~F.isnan(d)).groupBy(*key).agg(F.count("*").alias("n"), F.avg(d).alias("__m"), F.stddev_samp(d).alias("__s"))
     ok = F.col("n") >= 3
-    return g.select(*key, "n", F.when(ok, F.col("m")).alias("bias"), F.when(ok, F.col("m") - 1.96 * F.col("s")).alias("lower"), F.when(ok, F.col("m") + 1.96 * F.col("s")).alias("upper"))
+    return g.select(*key, "n", F.when(ok, F.col("__m")).alias("bias"), F.when(ok, F.col("__m") - 1.96 * F.col("__s")).alias("lower"), F.when(ok, F.col("__m") + 1.96 * F.col("__s")).alias("upper"))
 
 
 def concordance(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     """Lin's concordance correlation; null with fewer than 3 pairs or without spread."""
     x, y = F.col(a), F.col(b)
-    g = df.where(x.isNotNull() & y.isNotNull()).groupBy(*key).agg(F.count("*").alias("n"), F.covar_samp(x, y).alias("c"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
-    low = F.col("vx") + F.col("vy") + F.pow(F.col("mx") - F.col("my"), 2)
-    return g.select(*key, "n", F.when((F.col("n") >= 3) & (low > 0), 2 * F.col("c") / low).alias("ccc"))
+    g = df.where(x.isNotNull() & y.isNotNull()).groupBy(*key).agg(F.count("*").alias("n"), F.covar_samp(x, y).alias("__c"), F.var_samp(x).alias("__vx"), F.var_samp(y).alias("__vy"), F.avg(x).alias("__mx"), F.avg(y).alias("__my"))
+    low = F.col("__vx") + F.col("__vy") + F.pow(F.col("__mx") - F.col("__my"), 2)
+    return g.select(*key, "n", F.when((F.col("n") >= 3) & (low > 0), 2 * F.col("__c") / low).alias("ccc"))
 
 
 def consensus_floor(votes: DataFrame, key: list[str], least: int = 3, fewest: int = 5) -> DataFrame:
@@ -140,10 +140,10 @@ def equivalence(df: DataFrame, key: list[str], a: str, b: str, margin: float = 0
     from beatloom.functions.student import upper_tail
 
     d = F.col(b) - F.col(a)
-    g = df.where(d.isNotNull() & ~F.isnan(d)).groupBy(*key).agg(F.count("*").alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"), (F.avg(F.abs(a)) * margin).alias("bound"))
-    se, free = F.col("s") / F.sqrt("n"), (F.col("n") - 1).cast("double")
-    tests = g.withColumn("t1", ratio(F.col("m") + F.col("bound"), se)).withColumn("t2", ratio(F.col("bound") - F.col("m"), se)).withColumn("df", free)
-    p = F.greatest(upper_tail("t1", "df"), upper_tail("t2", "df"))
-    whole = tests.withColumn("p", F.when(F.col("s") == 0, F.lit(0.0)).otherwise(p))
+    g = df.where(d.isNotNull() & ~F.isnan(d)).groupBy(*key).agg(F.count("*").alias("n"), F.avg(d).alias("__m"), F.stddev_samp(d).alias("__s"), (F.avg(F.abs(a)) * margin).alias("__bound"))
+    se, free = F.col("__s") / F.sqrt("n"), (F.col("n") - 1).cast("double")
+    tests = g.withColumn("__t1", ratio(F.col("__m") + F.col("__bound"), se)).withColumn("__t2", ratio(F.col("__bound") - F.col("__m"), se)).withColumn("__df", free)
+    p = F.greatest(upper_tail("__t1", "__df"), upper_tail("__t2", "__df"))
+    whole = tests.withColumn("p", F.when(F.col("__s") == 0, F.lit(0.0)).otherwise(p))
     ok = F.col("n") >= 5
     return whole.select(*key, "n", F.when(ok, F.col("p")).alias("p"), F.when(ok, (F.col("p") < 0.05).cast("int")).alias("equivalent"))

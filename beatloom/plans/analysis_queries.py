@@ -27,6 +27,11 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[six(df[c], c) if kind == "double" else c for c, kind in df.dtypes])
 
 
+def _fine(df: DataFrame) -> DataFrame:
+    """Nine decimals, for costs, which have seven."""
+    return df.select(*[F.round(df[c], 9).alias(c) if kind == "double" else c for c, kind in df.dtypes])
+
+
 def _costs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs once each, label in its registered spelling, real costs of at least 0."""
     c = table(spark, folder, "detector_cost", "run_id", "record", "detector", "detector_label", "run_day", "best_s_per_min", "median_s_per_min").distinct()
@@ -124,7 +129,7 @@ def x10_count_ratio(spark: SparkSession, folder: str) -> DataFrame:
 
 def a1_run_summary(spark: SparkSession, folder: str) -> DataFrame:
     c = _costs(spark, folder)
-    return _rounded(c.groupBy("label").agg(F.count("*").alias("n_runs"), F.median("cost").alias("cost"), F.max("cost").alias("worst")))
+    return _fine(c.groupBy("label").agg(F.count("*").alias("n_runs"), F.median("cost").alias("cost"), F.max("cost").alias("worst")))
 
 
 def a2_leaderboard(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,7 +139,7 @@ def a2_leaderboard(spark: SparkSession, folder: str) -> DataFrame:
         place = F.when(F.col("label") == name, F.lit(i)).otherwise(place)
     g = _costs(spark, folder).where("label is not null").groupBy("label").agg(F.countDistinct("record").alias("n_records"), F.median("cost").alias("cost"))
     ranked = g.withColumn("by_cost", F.rank().over(Window.orderBy(F.round("cost", 9))))  # seven labels
-    return _rounded(ranked.withColumn("place", place).orderBy("place"))
+    return _fine(ranked.withColumn("place", place).orderBy("place"))
 
 
 def a3_correlation(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,7 +157,7 @@ def a5_pivot(spark: SparkSession, folder: str) -> DataFrame:
     """Median cost per activity, one column for each detector."""
     keys = list(de.REGISTRY)
     c = _costs(spark, folder).withColumn("activity", F.element_at(F.split("record", "_"), -1))
-    return _rounded(c.groupBy("activity").pivot("detector", keys).agg(F.median("cost")))
+    return _fine(c.groupBy("activity").pivot("detector", keys).agg(F.median("cost")))
 
 
 def a6_comparison(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,7 +212,7 @@ def a11_verify(spark: SparkSession, folder: str) -> DataFrame:
 def o3_best_run(spark: SparkSession, folder: str) -> DataFrame:
     """The cheapest run of each record; ties go to the lower run."""
     c = _costs(spark, folder)
-    return _rounded(c.groupBy("record").agg(F.min(F.struct("cost", "run_id")).alias("m")).select("record", "m.run_id", "m.cost"))
+    return c.groupBy("record").agg(F.min(F.struct("cost", "run_id")).alias("m")).select("record", "m.run_id", "m.cost")
 
 
 def o4_top_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -282,22 +287,22 @@ _MAX = ", ".join(f"max({n}) AS {n}" for n in ("floor_rmse", "floor_mae", "n_inte
 
 ORACLES = {
     "s2_page_heads": r"WITH h AS (SELECT doc_id, split_part(text, chr(10), 1) AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, regexp_extract(h, '^([^.]*)\.', 1) AS title, regexp_extract_all(h, '[0-9]+')[1] AS number, regexp_extract_all(h, '[0-9]+')[-1] AS page FROM h",
-    "s6_csv_round_trip": _MO + " SELECT record, session_id, seg, round(gyro_rms_median, 6) AS gyro_rms_median, round(gyro_rms_p90, 6) AS gyro_rms_p90, round(f1, 6) AS f1, round(ibi_rmse, 6) AS ibi_rmse, round(rmssd_abserr, 6) AS rmssd_abserr, round(sdnn_abserr, 6) AS sdnn_abserr FROM m",
+    "s6_csv_round_trip": _MO + " SELECT record, session_id, seg, round(gyro_rms_median, 6) + 0e0 AS gyro_rms_median, round(gyro_rms_p90, 6) + 0e0 AS gyro_rms_p90, round(f1, 6) AS f1, round(ibi_rmse, 6) AS ibi_rmse, round(rmssd_abserr, 6) AS rmssd_abserr, round(sdnn_abserr, 6) AS sdnn_abserr FROM m",
     "s8_json_fields": "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events",
     "x5_motion": _MO + " SELECT activity, count(*) AS n, round(median(gyro_rms_median), 6) AS gyro_median, round(quantile_cont(gyro_rms_p90, 0.9), 6) AS gyro_p90, round(median(ibi_rmse), 6) AS ibi_rmse, round(median(rmssd_abserr), 6) AS rmssd_abserr FROM m GROUP BY ALL",
     "x10_count_ratio": "WITH d AS (SELECT record, session_id, detector, count(*) AS n_test FROM (SELECT DISTINCT record, session_id, detector, test_idx FROM det_beats) GROUP BY ALL), r AS (SELECT record, session_id, count(*) AS n_ref FROM (SELECT DISTINCT record, session_id, ref_idx FROM ref_beats WHERE ref_idx IS NOT NULL) GROUP BY ALL) SELECT record, session_id, detector, round(n_test / n_ref, 6) AS ratio, n_test / n_ref BETWEEN 0.90 AND 1.10 AS good FROM d JOIN r USING (record, session_id)",
-    "a1_run_summary": _C + " SELECT label, count(*) AS n_runs, round(median(cost), 6) AS cost, round(max(cost), 6) AS worst FROM c GROUP BY ALL",
-    "a2_leaderboard": _C + ", g AS (SELECT label, place, count(DISTINCT record) AS n_records, median(cost) AS cost FROM c WHERE label IS NOT NULL GROUP BY ALL) SELECT label, n_records, round(cost, 6) AS cost, rank() OVER (ORDER BY round(cost, 9)) AS by_cost, place FROM g",
+    "a1_run_summary": _C + " SELECT label, count(*) AS n_runs, round(median(cost), 9) AS cost, round(max(cost), 9) AS worst FROM c GROUP BY ALL",
+    "a2_leaderboard": _C + ", g AS (SELECT label, place, count(DISTINCT record) AS n_records, median(cost) AS cost FROM c WHERE label IS NOT NULL GROUP BY ALL) SELECT label, n_records, round(cost, 9) AS cost, rank() OVER (ORDER BY round(cost, 9)) AS by_cost, place FROM g",
     "a3_correlation": _MO + " SELECT activity, count(*) AS n, round(corr(f1, ibi_rmse), 6) AS r_ibi_rmse, round(corr(f1, rmssd_abserr), 6) AS r_rmssd FROM m WHERE f1 IS NOT NULL AND ibi_rmse IS NOT NULL AND rmssd_abserr IS NOT NULL GROUP BY ALL",
     "a4_coverage_curve": f"WITH {_f('a')} SELECT coverage_target, count(floor_rmse) AS n, round(median(floor_rmse), 6) AS floor_rmse, round(median(floor_mae), 6) AS floor_mae FROM fa GROUP BY ALL",
-    "a5_pivot": _C + " SELECT activity, " + ", ".join(f"round(median(cost) FILTER (detector = '{k}'), 6) AS {k}" for k in de.REGISTRY) + " FROM c GROUP BY ALL",
+    "a5_pivot": _C + " SELECT activity, " + ", ".join(f"round(median(cost) FILTER (detector = '{k}'), 9) AS {k}" for k in de.REGISTRY) + " FROM c GROUP BY ALL",
     "a6_comparison": f"WITH {_f('a')}, {_f('b')}, u AS (SELECT *, 'a' AS side FROM fa UNION ALL SELECT *, 'b' FROM fb) SELECT coverage_target, " + ", ".join(f"round(median(floor_{m}) FILTER (side = '{s}'), 6) AS {m}__{s}" for m in ("rmse", "mae") for s in "ab") + " FROM u GROUP BY ALL",
     "a7_discrimination": f"{_MO}, u AS ({_UN}) SELECT metric, round(min(v), 6) AS best, round(max(v), 6) AS worst, CASE WHEN min(v) <> 0 THEN round(max(v) / min(v), 6) END AS spread, round(100 * stddev_samp(v) / avg(v), 6) AS cv_pct FROM u WHERE v IS NOT NULL GROUP BY ALL",
     "a8_quantisation": f"WITH {_f('a')}, fl AS (SELECT median(floor_rmse) AS floor_ms FROM fa WHERE coverage_target = 1) SELECT fs, round(floor_ms, 6) AS floor_ms, round(sqrt((1000 / fs / sqrt(12) * sqrt(2)) ** 2 + floor_ms ** 2), 6) AS expected_ms FROM (SELECT DISTINCT fs FROM ppg_samples), fl",
-    "a9_floor_summary": f"WITH {_f('a')}, g AS (SELECT record, median(floor_rmse) AS v FROM fa WHERE coverage_target = 1 GROUP BY ALL) SELECT record, round(v, 6) AS floor_rmse, round(v - (SELECT median(v) FROM g), 6) AS excess FROM g",
-    "a10_agreement": f"WITH {_f('a')}, {_f('b')}, ka AS (SELECT record, session_id, coverage_target, max(floor_rmse) AS va FROM fa WHERE coverage_target IS NOT NULL GROUP BY ALL), kb AS (SELECT record, session_id, coverage_target, max(floor_rmse) AS vb FROM fb WHERE coverage_target IS NOT NULL GROUP BY ALL), g AS (SELECT coverage_target, count(*) AS n, avg(vb - va) AS m, stddev_samp(vb - va) AS s FROM ka JOIN kb USING (record, session_id, coverage_target) WHERE va IS NOT NULL AND vb IS NOT NULL GROUP BY ALL) SELECT coverage_target, n, CASE WHEN n >= 3 THEN round(m, 6) END AS bias, CASE WHEN n >= 3 THEN round(m - 1.96 * s, 6) END AS lower, CASE WHEN n >= 3 THEN round(m + 1.96 * s, 6) END AS upper FROM g",
+    "a9_floor_summary": f"WITH {_f('a')}, g AS (SELECT record, median(floor_rmse) AS v FROM fa WHERE coverage_target = 1 GROUP BY ALL) SELECT record, round(v, 6) AS floor_rmse, round(v - (SELECT median(v) FROM g), 6) + 0e0 AS excess FROM g",
+    "a10_agreement": f"WITH {_f('a')}, {_f('b')}, ka AS (SELECT record, session_id, coverage_target, max(floor_rmse) AS va FROM fa WHERE coverage_target IS NOT NULL GROUP BY ALL), kb AS (SELECT record, session_id, coverage_target, max(floor_rmse) AS vb FROM fb WHERE coverage_target IS NOT NULL GROUP BY ALL), g AS (SELECT coverage_target, count(*) AS n, avg(vb - va) AS m, stddev_samp(vb - va) AS s FROM ka JOIN kb USING (record, session_id, coverage_target) WHERE va IS NOT NULL AND vb IS NOT NULL GROUP BY ALL) SELECT coverage_target, n, CASE WHEN n >= 3 THEN round(m, 6) + 0e0 END AS bias, CASE WHEN n >= 3 THEN round(m - 1.96 * s, 6) + 0e0 END AS lower, CASE WHEN n >= 3 THEN round(m + 1.96 * s, 6) + 0e0 END AS upper FROM g",
     "a11_verify": f"WITH {_f('a')}, {_f('b')}, ka AS (SELECT record, session_id, coverage_target, {_MAX} FROM fa GROUP BY ALL), kb AS (SELECT record, session_id, coverage_target, {_MAX} FROM fb GROUP BY ALL), u AS ({_VF}) SELECT \"column\", count(*) AS n_rows, count(*) FILTER ((va IS NULL) <> (vb IS NULL)) AS n_missing, round(max(abs(va - vb)), 6) AS greatest, count(*) FILTER (abs(va - vb) > 1e-6) AS n_beyond FROM u GROUP BY ALL",
-    "o3_best_run": _C + " SELECT record, run_id, round(cost, 6) AS cost FROM c QUALIFY row_number() OVER (PARTITION BY record ORDER BY cost, run_id) = 1",
+    "o3_best_run": _C + " SELECT record, run_id, cost FROM c QUALIFY row_number() OVER (PARTITION BY record ORDER BY cost, run_id) = 1",
     "o4_top_records": f"WITH {SQL['tach']} SELECT record, count(*) AS n FROM tach GROUP BY ALL ORDER BY n DESC, record LIMIT 10",
     "o7_set_operations": f"WITH {SQL['tach']}, {SQL['ref']}, t AS (SELECT DISTINCT record, session_id FROM tach), r AS (SELECT DISTINCT record, session_id FROM ref) SELECT *, 'both' AS \"where\" FROM (SELECT * FROM t INTERSECT SELECT * FROM r) UNION ALL SELECT *, 'intervals' FROM (SELECT * FROM t EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'reference' FROM (SELECT * FROM r EXCEPT SELECT * FROM t)",
     "g1_distinct_counts": "SELECT correction, count(DISTINCT record) AS n_records, count(DISTINCT (session_id, detector)) AS n_series FROM tachogram GROUP BY ALL",

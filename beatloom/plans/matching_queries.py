@@ -193,7 +193,7 @@ c2 AS (SELECT record, session_id, detector, k, ibi_s FROM dv WHERE ibi_s BETWEEN
 _TD = """SELECT {k}, count(*) AS n, avg(v) AS mean_nn, stddev_samp(v) AS sdnn, sqrt(avg(d * d)) AS rmssd, avg(CASE WHEN abs(d) > 50 THEN 1e0 WHEN d IS NOT NULL THEN 0e0 END) * 100 AS pnn50, stddev_samp(d) AS sdsd FROM {t} GROUP BY ALL HAVING count(*) >= 3"""
 
 ORACLES = {
-    "j1_band_join": _PAIRS + " SELECT record, session_id, detector, ref_idx, test_idx, round(apart, 6) AS apart FROM pr",
+    "j1_band_join": _PAIRS + " SELECT record, session_id, detector, ref_idx, test_idx, round(apart, 6) + 0e0 AS apart FROM pr",
     "m1_delay": f"""WITH {SQL['ref']}, {SQL['det']}, pr AS (SELECT r.record, r.session_id, d.detector, r.ref_idx, d.t - r.t AS d FROM ref r JOIN det d ON r.record = d.record AND r.session_id = d.session_id AND d.t - r.t BETWEEN -0.150000001 AND 0.650000001),
 gr AS (SELECT unnest(range(140)) AS g), v AS (SELECT record, session_id, detector, g, count(DISTINCT ref_idx) AS n FROM pr, gr WHERE abs(d - (g * 0.005 - 0.10)) <= 0.05 + 5e-9 GROUP BY ALL),
 b AS (SELECT record, session_id, detector, g * 0.005 - 0.10 AS coarse FROM v QUALIFY row_number() OVER (PARTITION BY record, session_id, detector ORDER BY n DESC, g) = 1),
@@ -207,15 +207,15 @@ c AS (SELECT record, session_id, detector, coalesce(tp, 0) AS tp, n_test, n_ref
 SELECT record, session_id, detector, tp, n_test - tp AS fp, n_ref - tp AS fn, round(tp / n_ref, 6) AS sensitivity, round(tp / n_test, 6) AS ppv, CASE WHEN tp > 0 THEN round(2 * (tp / n_ref) * (tp / n_test) / (tp / n_ref + tp / n_test), 6) END AS f1 FROM c""",
     "m3_missed": _M + " SELECT t.record, t.session_id, t.detector, r.ref_idx FROM ref r JOIN (SELECT DISTINCT record, session_id, detector FROM test) t USING (record, session_id) ANTI JOIN m ON m.record = t.record AND m.session_id = t.session_id AND m.detector = t.detector AND m.ref_idx = r.ref_idx",
     "m4_paired_intervals": _PI + " SELECT record, session_id, detector, ref_idx, round(rr_s, 6) AS rr_s, round(pp_s, 6) AS pp_s FROM pi2",
-    "l2_interval_error": _PI + ", e AS (SELECT record, session_id, detector, (pp_s - rr_s) * 1000 AS e FROM pi2) SELECT record, session_id, detector, CASE WHEN count(*) >= 2 THEN round(avg(abs(e)), 6) END AS ibi_mae, CASE WHEN count(*) >= 2 THEN round(sqrt(avg(e * e)), 6) END AS ibi_rmse, CASE WHEN count(*) >= 2 THEN round(avg(e), 6) END AS ibi_bias, round(stddev_samp(e), 6) AS ibi_sd, CASE WHEN count(*) >= 2 THEN count(*) END AS n_ibi FROM e GROUP BY ALL",
-    "l3_bland_altman": _PI + ", g AS (SELECT record, session_id, detector, count(*) AS n, avg(pp_s - rr_s) AS m, stddev_samp(pp_s - rr_s) AS s FROM pi2 GROUP BY ALL) SELECT record, session_id, detector, n, CASE WHEN n >= 3 THEN round(m, 6) END AS bias, CASE WHEN n >= 3 THEN round(m - 1.96 * s, 6) END AS lower, CASE WHEN n >= 3 THEN round(m + 1.96 * s, 6) END AS upper FROM g",
+    "l2_interval_error": _PI + ", e AS (SELECT record, session_id, detector, (pp_s - rr_s) * 1000 AS e FROM pi2) SELECT record, session_id, detector, CASE WHEN count(*) >= 2 THEN round(avg(abs(e)), 6) END AS ibi_mae, CASE WHEN count(*) >= 2 THEN round(sqrt(avg(e * e)), 6) END AS ibi_rmse, CASE WHEN count(*) >= 2 THEN round(avg(e), 6) + 0e0 END AS ibi_bias, round(stddev_samp(e), 6) AS ibi_sd, CASE WHEN count(*) >= 2 THEN count(*) END AS n_ibi FROM e GROUP BY ALL",
+    "l3_bland_altman": _PI + ", g AS (SELECT record, session_id, detector, count(*) AS n, avg(pp_s - rr_s) AS m, stddev_samp(pp_s - rr_s) AS s FROM pi2 GROUP BY ALL) SELECT record, session_id, detector, n, CASE WHEN n >= 3 THEN round(m, 6) + 0e0 END AS bias, CASE WHEN n >= 3 THEN round(m - 1.96 * s, 6) + 0e0 END AS lower, CASE WHEN n >= 3 THEN round(m + 1.96 * s, 6) + 0e0 END AS upper FROM g",
     "l4_concordance": _PI + ", g AS (SELECT record, session_id, detector, count(*) AS n, covar_samp(rr_s, pp_s) AS c, var_samp(rr_s) + var_samp(pp_s) + (avg(rr_s) - avg(pp_s)) ** 2 AS low FROM pi2 GROUP BY ALL) SELECT record, session_id, detector, n, CASE WHEN n >= 3 AND low > 0 THEN round(2 * c / low, 6) END AS ccc FROM g",
     "l6_hrv_error": f"""WITH {SQL['ref']}, {SQL['scr']}, rv AS (SELECT record, session_id, k, (t - lag(t) OVER (PARTITION BY record, session_id ORDER BY k)) AS ibi_s FROM ref),
 rd AS (SELECT record, session_id, ibi_s * 1000 AS v, ibi_s * 1000 - lag(ibi_s * 1000) OVER (PARTITION BY record, session_id ORDER BY k) AS d FROM rv WHERE ibi_s BETWEEN 0.30 AND 2.00),
 sd AS (SELECT record, session_id, detector, ibi_s * 1000 AS v, ibi_s * 1000 - lag(ibi_s * 1000) OVER (PARTITION BY record, session_id, detector ORDER BY n) AS d FROM scr),
 r AS ({_TD.format(k='record, session_id', t='rd')}), s AS ({_TD.format(k='record, session_id, detector', t='sd')}),
 ru AS (UNPIVOT r ON mean_nn, sdnn, rmssd, pnn50, sdsd INTO NAME key VALUE ref), su AS (UNPIVOT s ON mean_nn, sdnn, rmssd, pnn50, sdsd INTO NAME key VALUE test)
-SELECT su.record, su.session_id, su.detector, key, round(ref, 6) AS ref, round(test, 6) AS test, round(test - ref, 6) AS err, round(abs(test - ref), 6) AS abserr, CASE WHEN ref <> 0 THEN round(100 * (test - ref) / ref, 6) END AS pcterr FROM su JOIN ru USING (record, session_id, key)""",
+SELECT su.record, su.session_id, su.detector, key, round(ref, 6) AS ref, round(test, 6) AS test, round(test - ref, 6) + 0e0 AS err, round(abs(test - ref), 6) AS abserr, CASE WHEN ref <> 0 THEN round(100 * (test - ref) / ref, 6) + 0e0 END AS pcterr FROM su JOIN ru USING (record, session_id, key)""",
     "l7_consensus_floor": _PI + """, ab AS (SELECT *, count(*) OVER (PARTITION BY record, session_id, detector) AS mine FROM pi2 QUALIFY mine > 5), pn AS (SELECT record, session_id, count(DISTINCT detector) AS n_detectors FROM ab GROUP BY ALL HAVING count(DISTINCT detector) >= 3),
 md AS (SELECT record, session_id, ref_idx, (median(pp_s) - min(rr_s)) * 1000 AS e FROM ab GROUP BY ALL HAVING count(*) >= 3)
 SELECT record, session_id, CASE WHEN count(*) >= 5 THEN round(sqrt(avg(e * e)), 6) END AS floor_rmse, CASE WHEN count(*) >= 5 THEN round(avg(abs(e)), 6) END AS floor_mae, count(*) AS n_intervals, n_detectors FROM md JOIN pn USING (record, session_id) GROUP BY record, session_id, n_detectors""",

@@ -182,7 +182,7 @@ def _vertex(b: str, x: str, a: str, i: str) -> str:
 
 _TAPS3 = ", ".join(repr(v) for v in co.kaiser_taps(2, 5))
 ORACLES = {
-    "sp1_dc_removal": f"{_S} SELECT record, session_id, i, round(x - avg(x) OVER {_G}, 6) AS x FROM signal",
+    "sp1_dc_removal": f"{_S} SELECT record, session_id, i, round(x - avg(x) OVER {_G}, 6) + 0e0 AS x FROM signal",
     "sp2_decimate": f"""{_S}, raw AS (SELECT k, CASE WHEN k = 0 THEN 1e0 ELSE sin(pi() * k / 5) / (pi() * k / 5) END * (0.54 + 0.46 * cos(pi() * k / 50)) AS h FROM (SELECT unnest(range(-50, 51)) AS k)),
 taps AS (SELECT k, h / (SELECT sum(h) FROM raw) AS h FROM raw),
 ends AS (SELECT record, session_id, max(i) AS last FROM signal GROUP BY ALL),
@@ -192,13 +192,13 @@ SELECT o.record, o.session_id, o.j AS i, round(sum(s.x * t.h), 6) AS x FROM o, t
 ends AS (SELECT record, session_id, max(i) AS last FROM signal GROUP BY ALL),
 o AS (SELECT record, session_id, unnest(range(0, CAST(ceil((last + 1) * 2 / 5.0) AS BIGINT))) AS j FROM ends)
 SELECT o.record, o.session_id, o.j AS i, round(sum(s.x * t.h), 6) AS x FROM o, taps t, signal s WHERE (o.j * 5 - t.k) % 2 = 0 AND s.record = o.record AND s.session_id = o.session_id AND s.i = (o.j * 5 - t.k) // 2 GROUP BY ALL""",
-    "sp4_detrend": f"{_S} SELECT record, session_id, i, round(x - avg(x) OVER {_G} - coalesce(covar_pop(x, i) OVER {_G} / nullif(var_pop(i) OVER {_G}, 0), 0) * (i - avg(i) OVER {_G}), 6) AS x FROM signal",
-    "sp6_normalise": f"{_Z} SELECT record, session_id, i, round(x, 6) AS x FROM z",
+    "sp4_detrend": f"{_S} SELECT record, session_id, i, round(x - avg(x) OVER {_G} - coalesce(covar_pop(x, i) OVER {_G} / nullif(var_pop(i) OVER {_G}, 0), 0) * (i - avg(i) OVER {_G}), 6) + 0e0 AS x FROM signal",
+    "sp6_normalise": f"{_Z} SELECT record, session_id, i, round(x, 6) + 0e0 AS x FROM z",
     "sp9_polarity": f"{_S}, d AS (SELECT record, session_id, x - lag(x) OVER (PARTITION BY record, session_id ORDER BY i) AS d FROM signal), m AS (SELECT *, avg(d) OVER {_G} AS m FROM d) SELECT record, session_id, CASE WHEN coalesce(avg((d - m) ** 3), 0) >= 0 THEN 1 ELSE -1 END AS polarity FROM m GROUP BY ALL",
     "sp10_motion_index": """WITH n AS (SELECT vec_id, i, sqrt(CAST(embedding[1 + i] AS DOUBLE) ** 2 + CAST(embedding[22 + i] AS DOUBLE) ** 2 + CAST(embedding[43 + i] AS DOUBLE) ** 2) AS s FROM embeddings, (SELECT unnest(range(0, 21)) AS i)),
 m AS (SELECT vec_id, i // 7 AS block, s - median(s) OVER (PARTITION BY vec_id) AS m FROM n) SELECT vec_id, block, round(sqrt(avg(m * m)), 6) AS rms FROM m GROUP BY ALL""",
     "sp11_clip_square": f"{_Z} SELECT record, session_id, i, round(greatest(x, 0) ** 2, 6) AS sq FROM z",
-    "q2_quality_scores": f"{_W} SELECT record, session_id, w, round(skew, 6) AS score, round(CASE WHEN dc > 0 THEN ac / dc ELSE 0 END, 6) AS perfusion FROM sc",
+    "q2_quality_scores": f"{_W} SELECT record, session_id, w, round(skew, 6) + 0e0 AS score, round(CASE WHEN dc > 0 THEN ac / dc ELSE 0 END, 6) AS perfusion FROM sc",
     "q6_coverage_gate": f"{_K} SELECT * FROM kept",
     "q8_gated_beats": f"{_K}, {SQL['ref']} SELECT record, session_id, ref_idx, t FROM ref SEMI JOIN (SELECT record, session_id, w FROM kept WHERE kept) k ON ref.record = k.record AND ref.session_id = k.session_id AND floor(ref.t / 2) = k.w",
     "l8_coverage": f"{_K}, k AS (SELECT record, session_id, count(*) * 2.0 AS sec FROM kept WHERE kept GROUP BY ALL), n AS (SELECT record, session_id, count(*) AS n, min(fs) AS fs FROM signal GROUP BY ALL) SELECT record, session_id, round(sec * fs / n, 6) AS coverage FROM n JOIN k USING (record, session_id)",
