@@ -26,6 +26,27 @@ def band_join(ref: DataFrame, test: DataFrame, entity: list[str], low: float, hi
     return r.join(t, [*entity, "__b"]).where((F.col("tt") - F.col("rt")).between(low - EPS, high + EPS)).drop("__b")
 
 
+def nearest(ref: DataFrame, test: DataFrame, entity: list[str]) -> DataFrame:
+    """The nearest detection in time of each reference, on either side: ``entity``, ``ref_idx``, ``test_idx``, ``distance``.
+
+    One sort of both sides together; the last detection before and the first after a reference are its candidates. Ties
+    go to the earlier one. References of an entity without detections have none.
+    """
+    none = F.lit(None)
+    both = ref.select(*entity, F.col("rt").alias("__t"), F.lit(1).alias("__side"), "ref_idx", none.cast("long").alias("__i"), none.cast("double").alias("__tt")).unionByName(
+        test.select(*entity, F.col("tt").alias("__t"), F.lit(0).alias("__side"), none.cast("long").alias("ref_idx"), F.col("test_idx").alias("__i"), F.col("tt").alias("__tt"))
+    )
+    spot = F.when(F.col("__tt").isNotNull(), F.struct("__tt", "__i"))
+    w = Window.partitionBy(*entity).orderBy("__t", "__side", "__i")
+    back = F.last(spot, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(spot, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    looked = both.withColumn("__b", back).withColumn("__a", ahead).where(F.col("__side") == 1)
+    db, da = F.round(F.col("__t") - F.col("__b.__tt"), 9), F.round(F.col("__a.__tt") - F.col("__t"), 9)
+    earlier = F.col("__a").isNull() | (F.col("__b").isNotNull() & (db <= da))
+    found = looked.where(F.col("__a").isNotNull() | F.col("__b").isNotNull())
+    return found.select(*entity, "ref_idx", F.when(earlier, F.col("__b.__i")).otherwise(F.col("__a.__i")).alias("test_idx"), F.when(earlier, db).otherwise(da).alias("distance"))
+
+
 def grid_delay(ref: DataFrame, test: DataFrame, entity: list[str], run: list[str], near: float = 0.05) -> DataFrame:
     """Delay of each run: the grid value (-0.10 to under 0.60 s by 5 ms) that puts a detection within ``near`` of most references.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from beatloom.functions.numbers import six
-from beatloom.operators import hrv
+from beatloom.operators import hrv, spectrum
 from beatloom.sources.adapters import RUN, SQL, screened
 
 
@@ -30,6 +30,7 @@ QUERIES = {
     "h6_poincare": _query(hrv.poincare),
     "h7_sample_entropy": _query(hrv.sample_entropy),
     "h8_dfa_alpha1": _query(hrv.dfa_alpha1),
+    "h10_welch_bands": _query(spectrum.interval_bands),
     "h11_lomb_scargle": h11_lomb_scargle,
     "h12_band_power": h12_band_power,
     "h15_all_indices": _query(hrv.all_indices),

@@ -42,6 +42,37 @@ def j1_band_join(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(pairs.select(*RUN, "ref_idx", "test_idx", (F.col("tt") - F.col("rt")).alias("apart")))
 
 
+def j3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest detection of one detector to each reference beat, however far."""
+    ref, test = _sides(spark, folder)
+    return _rounded(ma.nearest(ref, test.where("detector = 'terma'"), SESSION))
+
+
+def x9_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Per detector the mean of the lesser of sensitivity and PPV, and whether it reaches 0.90."""
+    counts = ma.detection_counts(*_matches(spark, folder), SESSION, RUN_ONLY)
+    g = counts.groupBy("detector").agg(F.count("*").alias("n_runs"), F.avg(F.least("sensitivity", "ppv")).alias("agreement"))
+    return _rounded(g.withColumn("good", F.col("agreement") >= 0.90))
+
+
+def x11_best_case(spark: SparkSession, folder: str) -> DataFrame:
+    """The run with the best F1 of each detector; ties go to the first record and session."""
+    counts = ma.detection_counts(*_matches(spark, folder), SESSION, RUN_ONLY).where("f1 is not null")
+    best = counts.withColumn("f1", F.round("f1", 9)).groupBy("detector").agg(F.min(F.struct((-F.col("f1")).alias("f"), "record", "session_id")).alias("m"))
+    return _rounded(best.select("detector", F.col("m.record").alias("record"), F.col("m.session_id").alias("session_id"), (-F.col("m.f")).alias("f1")))
+
+
+def x4_strategies(spark: SparkSession, folder: str) -> DataFrame:
+    """Time-domain indices of each run under each correction strategy."""
+    raw = _numbered(spark, folder)
+    out = None
+    for name, strategy in cr.STRATEGIES.items():
+        fixed = number(strategy(raw, RUN).select(*RUN, F.col("n").alias("k"), "ibi_s"), RUN, ["k"], "n")
+        one = hrv.time_domain(fixed, RUN).withColumn("strategy", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return _rounded(out)
+
+
 def m1_delay(spark: SparkSession, folder: str) -> DataFrame:
     """The delay of every run as its beats show it."""
     ref = reference_beats(spark, folder).select(*SESSION, "ref_idx", F.col("t").alias("rt"))
@@ -148,6 +179,10 @@ def s3_annotations(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "j1_band_join": j1_band_join,
+    "j3_nearest": j3_nearest,
+    "x4_strategies": x4_strategies,
+    "x9_agreement": x9_agreement,
+    "x11_best_case": x11_best_case,
     "m1_delay": m1_delay,
     "m2_matches": m2_matches,
     "m3_counts": m3_counts,
@@ -192,7 +227,14 @@ dv AS (SELECT *, list_median(list_transform(vs, lambda v: abs(v - m))) AS mad FR
 c2 AS (SELECT record, session_id, detector, k, ibi_s FROM dv WHERE ibi_s BETWEEN 0.30 AND 2.00 AND (many < 9 OR abs(ibi_s - m) <= 5 * 1.4826 * CASE WHEN mad = 0 THEN 2.220446049250313e-16 ELSE mad END))"""
 _TD = """SELECT {k}, count(*) AS n, avg(v) AS mean_nn, stddev_samp(v) AS sdnn, sqrt(avg(d * d)) AS rmssd, avg(CASE WHEN abs(d) > 50 THEN 1e0 WHEN d IS NOT NULL THEN 0e0 END) * 100 AS pnn50, stddev_samp(d) AS sdsd FROM {t} GROUP BY ALL HAVING count(*) >= 3"""
 
+_COUNTS = _M + """, nt AS (SELECT record, session_id, detector, count(*) AS n_test FROM test GROUP BY ALL), nr AS (SELECT record, session_id, count(*) AS n_ref FROM ref GROUP BY ALL), tp AS (SELECT record, session_id, detector, count(*) AS tp FROM m GROUP BY ALL),
+c AS (SELECT record, session_id, detector, coalesce(tp, 0) AS tp, n_test, n_ref FROM nt JOIN nr USING (record, session_id) LEFT JOIN tp USING (record, session_id, detector))"""
+
 ORACLES = {
+    "j3_nearest": _PAIRS + """, d AS (SELECT r.record, r.session_id, r.ref_idx, t.test_idx, round(abs(t.tt - r.t), 9) AS distance, t.tt FROM ref r JOIN test t ON r.record = t.record AND r.session_id = t.session_id AND t.detector = 'terma')
+SELECT record, session_id, ref_idx, test_idx, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY record, session_id, ref_idx ORDER BY distance, tt, test_idx) = 1""",
+    "x9_agreement": _COUNTS + " SELECT detector, count(*) AS n_runs, round(avg(least(tp / n_ref, tp / n_test)), 6) AS agreement, avg(least(tp / n_ref, tp / n_test)) >= 0.90 AS good FROM c GROUP BY ALL",
+    "x11_best_case": _COUNTS + " SELECT detector, record, session_id, round(2 * (tp / n_ref) * (tp / n_test) / (tp / n_ref + tp / n_test), 6) AS f1 FROM c WHERE tp > 0 QUALIFY row_number() OVER (PARTITION BY detector ORDER BY round(2 * (tp / n_ref) * (tp / n_test) / (tp / n_ref + tp / n_test), 9) DESC, record, session_id) = 1",
     "j1_band_join": _PAIRS + " SELECT record, session_id, detector, ref_idx, test_idx, round(apart, 6) + 0e0 AS apart FROM pr",
     "m1_delay": f"""WITH {SQL['ref']}, {SQL['det']}, pr AS (SELECT r.record, r.session_id, d.detector, r.ref_idx, d.t - r.t AS d FROM ref r JOIN det d ON r.record = d.record AND r.session_id = d.session_id AND d.t - r.t BETWEEN -0.150000001 AND 0.650000001),
 gr AS (SELECT unnest(range(140)) AS g), v AS (SELECT record, session_id, detector, g, count(DISTINCT ref_idx) AS n FROM pr, gr WHERE abs(d - (g * 0.005 - 0.10)) <= 0.05 + 5e-9 GROUP BY ALL),

@@ -9,7 +9,10 @@ from beatloom.functions.numbers import six
 from beatloom.operators import conditioning as co
 from beatloom.operators import detectors as de
 from beatloom.operators import fiducial as fi
+from beatloom.operators import matching as ma
 from beatloom.operators import quality as qu
+from beatloom.operators import spectrum
+from beatloom.sources import files
 from beatloom.sources.adapters import SESSION, SQL, reference_beats, signal
 from beatloom.sources.tables import table
 
@@ -141,7 +144,71 @@ def _fiducial(kind: str):
     return query
 
 
+def f9_snapped(spark: SparkSession, folder: str) -> DataFrame:
+    """Peaks with their times put back on the sampling grid."""
+    s = signal(spark, folder)
+    found = fi.locate(s, fi.pulses(s, _tops(spark, folder), SESSION), SESSION, "peak", sub_sample=False)
+    return found.select(*SESSION, "peak", F.round("t", 9).alias("t"))
+
+
+def d3_slope_sum(spark: SparkSession, folder: str) -> DataFrame:
+    """Rises of the last 0.128 s summed (100 Hz sessions), and the threshold they start from."""
+    order, whole = Window.partitionBy(*SESSION).orderBy("i"), Window.partitionBy(*SESSION)
+    up = F.coalesce(F.greatest(F.col("x") - F.lag("x").over(order), F.lit(0.0)), F.lit(0.0))
+    z = signal(spark, folder).where("fs = 100").withColumn("up", up).withColumn("z", F.sum("up").over(order.rowsBetween(-12, 0)))
+    head = F.avg(F.when(F.col("i") < 1000, F.col("z"))).over(whole)
+    seed = F.when(F.count("*").over(whole) >= 1000, 3.0 * head).otherwise(0.2 * F.max("z").over(whole))
+    return _out(z.withColumn("seed", seed), *SESSION, "i", "z", "seed")
+
+
+def s10_pulse_train(spark: SparkSession, folder: str) -> DataFrame:
+    """The pulse signal that each session's reference beats would make in its first 20 s, at 25 Hz."""
+    beats = reference_beats(spark, folder).select(*SESSION, "t")
+    return _out(files.pulse_train(beats, SESSION, 25.0, 20.0), *SESSION, "i", "x")
+
+
+def x7_snr(spark: SparkSession, folder: str) -> DataFrame:
+    """Signal-to-noise ratio of each excerpt about the session's pulse rate."""
+    w = Window.partitionBy(*SESSION).orderBy("k")
+    rr = reference_beats(spark, folder).select(*SESSION, (F.col("t") - F.lag("t").over(w)).alias("rr")).where("rr between 0.30 and 2.00")
+    rates = rr.groupBy(*SESSION).agg((60.0 / F.median("rr")).alias("rate"))
+    return _out(spectrum.pulse_snr(co.remove_mean(signal(spark, folder), SESSION), rates, SESSION), *SESSION, "snr_db")
+
+
+def x3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Pulse intervals of the 100 Hz excerpts at 100, 50 and 25 Hz, on the grid and between samples: spread per session."""
+    raw = co.prepare(signal(spark, folder).where("fs = 100"), SESSION)
+    w = Window.partitionBy(*SESSION).orderBy("peak")
+    out = None
+    for q in (1, 2, 4):
+        low = raw if q == 1 else co.decimate(raw, SESSION, q).withColumn("fs", F.lit(100.0 / q))
+        pulse = fi.pulses(low, de.detect(low, SESSION, ["findpeaks"]).drop("detector"), SESSION)
+        for sub in (True, False):
+            d = fi.locate(low, pulse, SESSION, "peak", sub).withColumn("d", (F.col("t") - F.lag("t").over(w)) * 1000.0)
+            g = d.groupBy(*SESSION).agg(F.count("d").alias("n"), F.stddev_samp("d").alias("sd_ms")).withColumn("rate", F.lit(100.0 / q)).withColumn("sub_sample", F.lit(sub))
+            out = g if out is None else out.unionByName(g)
+    return _out(out, *SESSION, "rate", "sub_sample", "n", "sd_ms")
+
+
+def x8_decimation_loss(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of a session's beats at 100 Hz that are not found within 0.05 s at 25 Hz, flagged above 2 %."""
+    raw = co.prepare(signal(spark, folder).where("fs = 100"), SESSION)
+    low = co.decimate(raw, SESSION, 4).withColumn("fs", F.lit(25.0))
+    full = de.detect(raw, SESSION, ["findpeaks"]).select(*SESSION, F.col("idx").alias("ref_idx"), (F.col("idx") / 100.0).alias("rt"))
+    test = de.detect(low, SESSION, ["findpeaks"]).select(*SESSION, "detector", F.col("idx").alias("test_idx"), (F.col("idx") / 25.0).alias("tt"))
+    tp = ma.match(full, test, SESSION, ["detector"], 0.05).groupBy(*SESSION).agg(F.count("*").alias("tp"))
+    n = full.groupBy(*SESSION).agg(F.count("*").alias("n"))
+    loss = n.join(tp, SESSION, "left").withColumn("loss", 1.0 - F.coalesce("tp", F.lit(0)) / F.col("n"))
+    return _out(loss.withColumn("flagged", F.col("loss") > 0.02), *SESSION, "loss", "flagged")
+
+
 QUERIES = {
+    "s10_pulse_train": s10_pulse_train,
+    "d3_slope_sum": d3_slope_sum,
+    "f9_snapped": f9_snapped,
+    "x3_rates": x3_rates,
+    "x7_snr": x7_snr,
+    "x8_decimation_loss": x8_decimation_loss,
     "sp1_dc_removal": sp1_dc_removal,
     "sp2_decimate": sp2_decimate,
     "sp3_resample": sp3_resample,
@@ -182,6 +249,12 @@ def _vertex(b: str, x: str, a: str, i: str) -> str:
 
 _TAPS3 = ", ".join(repr(v) for v in co.kaiser_taps(2, 5))
 ORACLES = {
+    "s10_pulse_train": f"""WITH {SQL['ref']}, g AS (SELECT unnest(range(0, 500)) AS i), n AS (SELECT record, session_id, i, i / 25.0 - t AS u FROM ref JOIN g ON i >= ceil(t * 25) AND i <= floor((t + 2) * 25) WHERE t < 20)
+SELECT record, session_id, i, round(sum(CASE WHEN u < 0.12 THEN 0.5 * (1 - cos(pi() * u / 0.12)) ELSE exp(-(u - 0.12) / 0.35) END + 0.25 * exp(-0.5 * ((u - 0.40) / 0.05) ** 2)), 6) + 0e0 AS x FROM n GROUP BY ALL""",
+    "d3_slope_sum": f"""{_S}, u AS (SELECT record, session_id, i, coalesce(greatest(x - lag(x) OVER (PARTITION BY record, session_id ORDER BY i), 0), 0) AS up FROM signal WHERE fs = 100),
+z AS (SELECT record, session_id, i, sum(up) OVER (PARTITION BY record, session_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS z FROM u)
+SELECT record, session_id, i, round(z, 6) AS z, round(CASE WHEN count(*) OVER {_G} >= 1000 THEN 3 * avg(CASE WHEN i < 1000 THEN z END) OVER {_G} ELSE 0.2 * max(z) OVER {_G} END, 6) AS seed FROM z""",
+    "f9_snapped": f"{_T}{_N} SELECT record, session_id, peak, round(round_even(({_vertex('b', 'x', 'a', 'i')}) / 100 * 100, 0) / 100, 9) AS t FROM pul JOIN nb USING (record, session_id) WHERE i = peak",
     "sp1_dc_removal": f"{_S} SELECT record, session_id, i, round(x - avg(x) OVER {_G}, 6) + 0e0 AS x FROM signal",
     "sp2_decimate": f"""{_S}, raw AS (SELECT k, CASE WHEN k = 0 THEN 1e0 ELSE sin(pi() * k / 5) / (pi() * k / 5) END * (0.54 + 0.46 * cos(pi() * k / 50)) AS h FROM (SELECT unnest(range(-50, 51)) AS k)),
 taps AS (SELECT k, h / (SELECT sum(h) FROM raw) AS h FROM raw),

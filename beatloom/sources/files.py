@@ -56,8 +56,8 @@ def checksums(spark: SparkSession, pattern: str, manifest: DataFrame) -> DataFra
     return both.select("name", status.alias("status"))
 
 
-def pulse_train(beats: DataFrame, fs: float, duration_s: float) -> DataFrame:
-    """A synthetic pulse signal from beat times: ``record, i, x``; ``beats`` has ``record`` and ``t``.
+def pulse_train(beats: DataFrame, keys: list[str], fs: float, duration_s: float) -> DataFrame:
+    """A synthetic pulse signal from beat times: ``keys``, ``i``, ``x``; ``beats`` has ``keys`` and ``t``.
 
     Each beat adds a raised-cosine rise of 0.12 s, an exponential decay of 0.35 s and a dicrotic bump; only the samples
     within 2 s of a beat are made for it, and they are summed per sample.
@@ -70,4 +70,4 @@ def pulse_train(beats: DataFrame, fs: float, duration_s: float) -> DataFrame:
     rise = 0.5 * (1 - F.cos(F.lit(3.141592653589793) * u / 0.12))
     fall = F.exp(-(u - 0.12) / 0.35)
     bump = 0.25 * F.exp(-0.5 * F.pow((u - 0.40) / 0.05, F.lit(2)))
-    return near.groupBy("record", "i").agg(F.sum(F.when(u < 0.12, rise).otherwise(fall) + bump).alias("x"))
+    return near.groupBy(*keys, "i").agg(F.sum(F.when(u < 0.12, rise).otherwise(fall) + bump).alias("x"))

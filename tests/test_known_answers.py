@@ -15,6 +15,7 @@ from beatloom.operators import fiducial as fi
 from beatloom.operators import hrv
 from beatloom.operators import matching as ma
 from beatloom.operators import quality as qu
+from beatloom.operators import spectrum
 from beatloom.sources import files
 
 S = ["s"]
@@ -143,7 +144,7 @@ def pulse(spark, rate=72, seconds=60, fs=100):
     t = np.arange(1.0, seconds - 1.0, 60 / rate)
     beats = spark.createDataFrame([("r", float(v)) for v in t], "record string, t double")
     every = spark.range(int(seconds * fs)).select(F.lit("r").alias("record"), F.col("id").alias("i"))
-    x = files.pulse_train(beats, fs, seconds)
+    x = files.pulse_train(beats, ["record"], fs, seconds)
     return every.join(x, ["record", "i"], "left").select(F.col("record").alias("s"), "i", F.coalesce("x", F.lit(0.0)).alias("x"), F.lit(float(fs)).alias("fs")), len(t)
 
 
@@ -186,6 +187,21 @@ def test_band_pass_keeps_phase_and_drops_the_level():
     assert edge[mid].std() / np.sqrt(0.5) == pytest.approx(0.5, abs=0.02)  # -3 dB twice
 
 
+def test_spectra(spark):
+    t = np.cumsum(np.full(300, 0.8))
+    x = 0.8 + 0.03 * np.sin(2 * np.pi * 0.25 * t)
+    b = by_group(spectrum.interval_bands(series(spark, x, [0.8] * 10), S))
+    assert b["g0"]["hf"] > 5 * b["g0"]["lf"] and "g1" not in b
+    assert b["g0"]["hf"] == pytest.approx(30**2 / 2, rel=0.1)
+    at = np.linspace(0.1, 8.9, 50)
+    knots = np.arange(10.0)
+    assert np.allclose(spectrum.pchip(knots, 2 * knots, at), 2 * at)
+    step = spectrum.pchip(knots, (knots > 4).astype(float), at)
+    assert step.min() >= 0 and step.max() <= 1
+    f, p = spectrum.welch(np.random.default_rng(1).normal(size=50_000), 10.0, 500)
+    assert (p[1:] * np.diff(f)).sum() == pytest.approx(1, abs=0.05)
+
+
 def test_files(spark, tmp_path):
     head = spark.createDataFrame([("<age>: 31 <bmi>: 22.5 <age>: 32",), ("",), (None,)], "h string")
     got = [r["m"] for r in head.select(files.header_fields(F.col("h")).alias("m")).collect()]
