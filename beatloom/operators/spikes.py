@@ -38,7 +38,7 @@ class LevelRule:
     floor: float
 
 
-INTERVALS = LevelRule(low=0.30, high=2.00, closed=False, half=8, limit=8.5, scatter="residual", stuck=10, floor=0.001)
+INTERVALS = LevelRule(low=0.30, high=2.00, closed=False, half=8, limit=6.5, scatter="residual", stuck=10, floor=0.001)
 SAMPLES = LevelRule(low=0.0, high=262143.0, closed=True, half=3, limit=0.75, scatter="spread", stuck=25, floor=1.0)
 
 
