@@ -140,5 +140,5 @@ def fraction_corrected(n_corrected: Column, n_input: Column) -> Column:
     return ratio(n_corrected, n_input)
 
 
-#: Strategy by name; each takes a numbered series and its keys.
-STRATEGIES = {"none": lambda df, keys: screen(df), "median_mad": median_mad, "adaptive": adaptive}
+#: Correction by name; each takes a numbered series and its keys.
+CORRECTIONS = {"none": lambda df, keys: screen(df), "median_mad": median_mad, "adaptive": adaptive}

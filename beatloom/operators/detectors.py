@@ -148,7 +148,7 @@ def msptd_window(x: np.ndarray, scales: int | None = None) -> np.ndarray:
     return np.flatnonzero(higher[: best + 1].all(axis=0))
 
 
-def windowed(find: Callable[[np.ndarray], np.ndarray], x: np.ndarray, fs: float) -> np.ndarray:
+def by_windows(find: Callable[[np.ndarray], np.ndarray], x: np.ndarray, fs: float) -> np.ndarray:
     """``find`` on 6 s windows with 1 s overlap; half the overlap is left to the window before; 0.25 s apart, first kept."""
     n, size, step, tail = len(x), round(WINDOW_S * fs), round((WINDOW_S - OVERLAP_S) * fs), round(SHORTEST_TAIL_S * fs)
     skip, found = round(OVERLAP_S * fs / 2), []
@@ -167,14 +167,14 @@ def windowed(find: Callable[[np.ndarray], np.ndarray], x: np.ndarray, fs: float)
 
 
 def msptd(x: np.ndarray, fs: float) -> np.ndarray:
-    return windowed(msptd_window, x, fs)
+    return by_windows(msptd_window, x, fs)
 
 
 def msptd_fast(x: np.ndarray, fs: float) -> np.ndarray:
     """The same on a 20 Hz copy with scales for over 30 beats a minute; peaks are then moved to the maximum nearby."""
     q = max(1, int(fs // 20))
     low = x[: len(x) // q * q].reshape(-1, q).mean(axis=1)
-    rough = windowed(lambda part: msptd_window(part, scales=int(fs / q)), low, fs / q) * q + q // 2
+    rough = by_windows(lambda part: msptd_window(part, scales=int(fs / q)), low, fs / q) * q + q // 2
     reach = max(1, round(0.1 * fs))
     return np.unique([max(0, p - reach) + int(np.argmax(x[max(0, p - reach) : p + reach + 1])) for p in rough if p < len(x)]).astype(np.int64)
 

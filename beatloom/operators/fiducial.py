@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FIDUCIALS = ("peak", "foot", "mid_upslope", "max_slope")
+POINTS = ("peak", "foot", "mid_upslope", "max_slope")
 
 
 def vertex(before: Column, at: Column, after: Column, i: Column) -> Column:
@@ -36,7 +36,7 @@ def locate(signal: DataFrame, pulse: DataFrame, keys: list[str], kind: str, sub_
     peak, foot: vertex at the peak or onset. mid_upslope: where the rise crosses half its height, interpolated.
     max_slope: vertex of the slope at its first greatest sample. Without ``sub_sample`` times are put on the grid.
     """
-    if kind not in FIDUCIALS:
+    if kind not in POINTS:
         raise ValueError(f"no such fiducial: {kind}")
     w = Window.partitionBy(*keys).orderBy("i")
     before, after = F.lag("x").over(w), F.lead("x").over(w)

@@ -16,7 +16,6 @@ from beatloom.functions.numbers import ratio
 
 # Bands in Hz.
 LF, HF, TOTAL = (0.04, 0.15), (0.15, 0.40), (0.0033, 0.40)
-HRV_KEYS = ["mean_nn", "sdnn", "rmssd", "pnn50", "sdsd", "sd1", "sd2", "sd1_sd2", "sampen", "dfa_alpha1", "lf", "hf", "lf_hf"]
 
 
 def _ms() -> Column:

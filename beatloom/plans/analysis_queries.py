@@ -104,7 +104,7 @@ def x2_fiducials(spark: SparkSession, folder: str) -> DataFrame:
     pulse = fi.pulses(raw, de.detect(raw, SESSION, ["msptdfast"]).drop("detector"), SESSION)
     w = Window.partitionBy(*SESSION).orderBy("peak")
     out = None
-    for kind in fi.FIDUCIALS:
+    for kind in fi.POINTS:
         at = fi.locate(raw, pulse, SESSION, kind)
         d = at.withColumn("d", (F.col("t") - F.lag("t").over(w)) * 1000.0)
         g = d.groupBy(*SESSION).agg(F.count("d").alias("n"), F.stddev_samp("d").alias("sd_ms")).withColumn("fiducial", F.lit(kind))

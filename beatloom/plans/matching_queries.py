@@ -66,7 +66,7 @@ def x4_strategies(spark: SparkSession, folder: str) -> DataFrame:
     """Time-domain indices of each run under each correction strategy."""
     raw = _numbered(spark, folder)
     out = None
-    for name, strategy in cr.STRATEGIES.items():
+    for name, strategy in cr.CORRECTIONS.items():
         fixed = number(strategy(raw, RUN).select(*RUN, F.col("n").alias("k"), "ibi_s"), RUN, ["k"], "n")
         one = hrv.time_domain(fixed, RUN).withColumn("strategy", F.lit(name))
         out = one if out is None else out.unionByName(one)
@@ -153,7 +153,7 @@ def c4_fraction_corrected(spark: SparkSession, folder: str) -> DataFrame:
     """Share of a run's intervals that each filter takes out."""
     raw = _numbered(spark, folder)
     totals = raw.groupBy(*RUN).agg(F.count("*").alias("n_input"))
-    kept = [f(raw, RUN).groupBy(*RUN).agg(F.count("*").alias(f"kept_{name}")) for name, f in cr.STRATEGIES.items() if name != "adaptive"]
+    kept = [f(raw, RUN).groupBy(*RUN).agg(F.count("*").alias(f"kept_{name}")) for name, f in cr.CORRECTIONS.items() if name != "adaptive"]
     for k in kept:
         totals = totals.join(k, RUN, "left")
     share = lambda name: cr.fraction_corrected(F.col("n_input") - F.coalesce(f"kept_{name}", F.lit(0)), F.col("n_input")).alias(name)

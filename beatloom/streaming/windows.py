@@ -72,7 +72,8 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     out = f"{base}/rows"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        # In complete mode each batch is the whole result and replaces the one before.
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number if mode == 'append' else 0}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/offsets").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
