@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RANGE = "__range"
@@ -67,6 +67,7 @@ def table_diff(a: DataFrame, b: DataFrame, keys: list[str], fields: list[Field],
         return df.select(RANGE, F.lit(sign).cast("long").alias("__n"), *[(h * sign).alias(f"__h{i}") for i, h in enumerate(row_hash)])
 
     total = [F.sum(c).alias(c) for c in ("__n", "__h0", "__h1")]
+    # Levels and leaves read the same shuffles of both sides, so the tables are read and shuffled once in one job.
     leaves = sums(a, 1).unionByName(sums(b, -1)).groupBy(RANGE).agg(*total)
     levels = [leaves]
     for _ in range(depth - 1):
@@ -90,7 +91,3 @@ def table_diff(a: DataFrame, b: DataFrame, keys: list[str], fields: list[Field],
     key_of = [F.when(F.col("__in_a").isNotNull(), F.col(f"l.{k}")).otherwise(F.col(f"r.{k}")).alias(k) for k in keys]
     return pairs.select(*key_of, F.explode(found.otherwise(unlike)).alias("__case")).select(*keys, "__case.kind", "__case.field_name")
 
-
-def newest_first(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Rank of each row among the versions of its key, for reports of superseded rows."""
-    return df.withColumn("version_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(version).desc_nulls_last())))
