@@ -168,15 +168,18 @@ def polarity(filtered: DataFrame, keys: list[str]) -> DataFrame:
     return filtered.withColumn("d", d).groupBy(*keys).agg(F.when(F.coalesce(F.skewness("d"), F.lit(0.0)) >= 0, 1).otherwise(-1).alias("polarity"))
 
 
-def motion_index(df: DataFrame, keys: list[str], axes: tuple[str, str, str], per_block: int) -> DataFrame:
-    """RMS of the rotation's norm about its median in blocks of ``per_block`` samples; one block of all where none is full."""
+def motion_index(df: DataFrame, keys: list[str], axes: tuple[str, str, str], per_block: int, short: bool = True) -> DataFrame:
+    """RMS of the rotation's norm about its median in blocks of ``per_block`` samples.
+
+    Where no block is full, all samples are one block, or, without ``short``, there is none (the quality windows' form).
+    """
     x, y, z = (F.col(a) for a in axes)
     size = df.select(*keys, "i", F.sqrt(x * x + y * y + z * z).alias("norm"))
     middle = size.groupBy(*keys).agg(F.median("norm").alias("mid"), F.count("*").alias("many"))
     moved = size.join(middle, keys).withColumn("m", F.col("norm") - F.col("mid"))
     whole_blocks = F.floor(F.col("many") / per_block)
     block: Column = F.when(whole_blocks == 0, F.lit(0).cast("long")).otherwise(F.floor(F.col("i") / per_block))
-    inside = moved.withColumn("block", block).where((whole_blocks == 0) | (F.col("block") < whole_blocks))
+    inside = moved.withColumn("block", block).where(((whole_blocks == 0) & F.lit(short)) | (F.col("block") < whole_blocks))
     return inside.groupBy(*keys, "block").agg(F.sqrt(F.avg(F.col("m") * F.col("m"))).alias("rms"))
 
 

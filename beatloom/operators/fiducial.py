@@ -30,6 +30,20 @@ def pulses(signal: DataFrame, anchors: DataFrame, keys: list[str], span_s: float
     return least.select(*keys, "peak", "fs", F.col("m.i").alias("onset")).where(F.col("onset") < F.col("peak"))
 
 
+def pulses_from_onsets(signal: DataFrame, anchors: DataFrame, keys: list[str], span_s: float = 0.40) -> DataFrame:
+    """Peak of each onset: the first greatest sample up to 0.40 s after it and before the next onset; ``onset``, ``peak``.
+
+    Onsets with less than two samples to look at, or that are their own peak, have no pulse.
+    """
+    w = Window.partitionBy(*keys).orderBy("idx")
+    ends = signal.groupBy(*keys).agg(F.first("fs").alias("fs"), (F.max("i") + 1).alias("__n"))
+    o = anchors.select(*keys, F.col("idx").alias("onset"), F.lead("idx").over(w).alias("__next")).join(ends, keys)
+    stop = F.least(F.col("__n"), F.col("onset") + F.bround(F.col("fs") * span_s).cast("long") + 1, F.coalesce("__next", F.col("__n")))
+    looks = o.where(stop - F.col("onset") > 1).select(*keys, "onset", "fs", F.explode(F.sequence(F.col("onset"), stop - 1)).alias("i"))
+    top = looks.join(signal.select(*keys, "i", "x"), [*keys, "i"]).groupBy(*keys, "onset", "fs").agg(F.max(F.struct("x", (-F.col("i")).alias("n"))).alias("m"))
+    return top.select(*keys, "fs", "onset", (-F.col("m.n")).alias("peak")).where(F.col("peak") > F.col("onset"))
+
+
 def locate(signal: DataFrame, pulse: DataFrame, keys: list[str], kind: str, sub_sample: bool = True) -> DataFrame:
     """Time of the fiducial ``kind`` of each pulse: ``keys``, ``peak``, ``onset``, ``t`` (s).
 

@@ -79,7 +79,7 @@ def x1_sweep(spark: SparkSession, folder: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     raw = signal(spark, folder)
     prepared = co.prepare(raw, SESSION)
-    anchors = de.detect(prepared, SESSION, ["findpeaks", "terma", "msptdfast"])
+    anchors = de.detect(prepared, SESSION)
     fs = raw.groupBy(*SESSION).agg(F.first("fs").alias("fs"), F.count("*").alias("n"))
     beats = anchors.join(fs, SESSION).select(*RUN, F.col("idx").alias("test_idx"), (F.col("idx") / F.col("fs")).alias("t"))
     inside = reference_beats(spark, folder).join(fs, SESSION).where(F.col("t") < F.col("n") / F.col("fs")).select(*SESSION, "ref_idx", "t")
@@ -100,8 +100,9 @@ def x1_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 def x2_fiducials(spark: SparkSession, folder: str) -> DataFrame:
     """The four fiducial points of one detector's pulses: spread of their pulse intervals per session."""
-    raw = co.prepare(signal(spark, folder), SESSION)
-    pulse = fi.pulses(raw, de.detect(raw, SESSION, ["msptdfast"]).drop("detector"), SESSION)
+    ensure_checkpoint_dir(spark)
+    raw = co.prepare(signal(spark, folder), SESSION).checkpoint()  # read by every fiducial
+    pulse = fi.pulses(raw, de.detect(raw, SESSION, ["msptdfast"]).drop("detector"), SESSION).checkpoint()
     w = Window.partitionBy(*SESSION).orderBy("peak")
     out = None
     for kind in fi.POINTS:

@@ -30,6 +30,7 @@ QUERIES = {
     "h6_poincare": _query(hrv.poincare),
     "h7_sample_entropy": _query(hrv.sample_entropy),
     "h8_dfa_alpha1": _query(hrv.dfa_alpha1),
+    "h10_welch_spectrum": _query(spectrum.interval_spectrum),
     "h10_welch_bands": _query(spectrum.interval_bands),
     "h11_lomb_scargle": h11_lomb_scargle,
     "h12_band_power": h12_band_power,

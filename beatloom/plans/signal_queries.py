@@ -12,6 +12,7 @@ from beatloom.operators import fiducial as fi
 from beatloom.operators import matching as ma
 from beatloom.operators import quality as qu
 from beatloom.operators import spectrum
+from beatloom.session import ensure_checkpoint_dir
 from beatloom.sources import files
 from beatloom.sources.adapters import SESSION, SQL, reference_beats, signal
 from beatloom.sources.tables import table
@@ -135,6 +136,21 @@ def f2_pulses(spark: SparkSession, folder: str) -> DataFrame:
     return fi.pulses(signal(spark, folder), _tops(spark, folder), SESSION).select(*SESSION, "onset", "peak")
 
 
+def f3_onset_pulses(spark: SparkSession, folder: str) -> DataFrame:
+    """Pulses from onsets: samples that are the first least of the 0.3 s on both sides."""
+    w = Window.partitionBy(*SESSION).orderBy("i")
+    s = signal(spark, folder).where("fs = 100")
+    lows = s.withColumn("a", F.min("x").over(w.rowsBetween(-30, -1))).withColumn("b", F.min("x").over(w.rowsBetween(1, 30))).where("x < a and x <= b")
+    return fi.pulses_from_onsets(s, lows.select(*SESSION, F.col("i").alias("idx")), SESSION).select(*SESSION, "onset", "peak")
+
+
+def q4_motion_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """As sp10, but vectors without a full block of 30 samples have none."""
+    e = table(spark, folder, "embeddings", "vec_id", "embedding")
+    rows = e.select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("gx"), F.lit(0.0).alias("gy"), F.lit(0.0).alias("gz"))
+    return _out(co.motion_index(rows, ["vec_id"], ("gx", "gy", "gz"), 30, short=False), "vec_id", "block", "rms")
+
+
 def _fiducial(kind: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         s = signal(spark, folder)
@@ -177,12 +193,13 @@ def x7_snr(spark: SparkSession, folder: str) -> DataFrame:
 
 def x3_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Pulse intervals of the 100 Hz excerpts at 100, 50 and 25 Hz, on the grid and between samples: spread per session."""
-    raw = co.prepare(signal(spark, folder).where("fs = 100"), SESSION)
+    ensure_checkpoint_dir(spark)
+    raw = co.prepare(signal(spark, folder).where("fs = 100"), SESSION).checkpoint()  # read by nine branches
     w = Window.partitionBy(*SESSION).orderBy("peak")
     out = None
     for q in (1, 2, 4):
         low = raw if q == 1 else co.decimate(raw, SESSION, q).withColumn("fs", F.lit(100.0 / q))
-        pulse = fi.pulses(low, de.detect(low, SESSION, ["findpeaks"]).drop("detector"), SESSION)
+        pulse = fi.pulses(low, de.detect(low, SESSION, ["findpeaks"]).drop("detector"), SESSION).checkpoint()
         for sub in (True, False):
             d = fi.locate(low, pulse, SESSION, "peak", sub).withColumn("d", (F.col("t") - F.lag("t").over(w)) * 1000.0)
             g = d.groupBy(*SESSION).agg(F.count("d").alias("n"), F.stddev_samp("d").alias("sd_ms")).withColumn("rate", F.lit(100.0 / q)).withColumn("sub_sample", F.lit(sub))
@@ -192,7 +209,8 @@ def x3_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 def x8_decimation_loss(spark: SparkSession, folder: str) -> DataFrame:
     """Share of a session's beats at 100 Hz that are not found within 0.05 s at 25 Hz, flagged above 2 %."""
-    raw = co.prepare(signal(spark, folder).where("fs = 100"), SESSION)
+    ensure_checkpoint_dir(spark)
+    raw = co.prepare(signal(spark, folder).where("fs = 100"), SESSION).checkpoint()
     low = co.decimate(raw, SESSION, 4).withColumn("fs", F.lit(25.0))
     full = de.detect(raw, SESSION, ["findpeaks"]).select(*SESSION, F.col("idx").alias("ref_idx"), (F.col("idx") / 100.0).alias("rt"))
     test = de.detect(low, SESSION, ["findpeaks"]).select(*SESSION, "detector", F.col("idx").alias("test_idx"), (F.col("idx") / 25.0).alias("tt"))
@@ -228,6 +246,8 @@ QUERIES = {
     "d2_terma": d2_terma,
     "d8_anchors": d8_anchors,
     "f2_pulses": f2_pulses,
+    "f3_onset_pulses": f3_onset_pulses,
+    "q4_motion_quality": q4_motion_quality,
     **{f"f{n}_{kind}": _fiducial(kind) for n, kind in ((4, "peak"), (5, "foot"), (6, "mid_upslope"), (7, "max_slope"))},
 }
 
@@ -279,6 +299,11 @@ m AS (SELECT vec_id, i // 7 AS block, s - median(s) OVER (PARTITION BY vec_id) A
 a AS (SELECT *, round(sum(sq) OVER (PARTITION BY record, session_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) / 11 - sum(sq) OVER (PARTITION BY record, session_id ORDER BY i ROWS BETWEEN 33 PRECEDING AND 33 FOLLOWING) / 67 - 0.02 * avg(sq) OVER {_G}, 9) > 0 AS gap FROM s),
 e AS (SELECT *, CAST(gap <> coalesce(lag(gap) OVER (PARTITION BY record, session_id ORDER BY i), false) AS INT) AS e FROM a), b AS (SELECT *, sum(e) OVER (PARTITION BY record, session_id ORDER BY i) AS b FROM e)
 SELECT record, session_id, wide, idx FROM (SELECT record, session_id, b, count(*) AS wide, arg_max(i, (x, -i)) AS idx FROM b WHERE gap GROUP BY ALL) WHERE wide >= 11""",
+    "f3_onset_pulses": f"""{_S}, lows AS (SELECT record, session_id, i AS idx, lead(i) OVER (PARTITION BY record, session_id ORDER BY i) AS nxt FROM (SELECT *, min(x) OVER (PARTITION BY record, session_id ORDER BY i ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS a, min(x) OVER (PARTITION BY record, session_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING) AS b FROM signal WHERE fs = 100) WHERE x < a AND x <= b),
+e AS (SELECT record, session_id, max(i) + 1 AS n FROM signal GROUP BY ALL),
+l AS (SELECT lows.*, least(n, idx + 41, coalesce(nxt, n)) AS stop FROM lows JOIN e USING (record, session_id))
+SELECT record, session_id, onset, peak FROM (SELECT l.record, l.session_id, l.idx AS onset, arg_max(s.i, (s.x, -s.i)) AS peak FROM l JOIN signal s ON l.record = s.record AND l.session_id = s.session_id AND s.i BETWEEN l.idx AND l.stop - 1 WHERE stop - idx > 1 GROUP BY ALL) WHERE peak > onset""",
+    "q4_motion_quality": """WITH n AS (SELECT vec_id, unnest(range(0, 64)) AS i, abs(CAST(unnest(embedding) AS DOUBLE)) AS s FROM embeddings), m AS (SELECT vec_id, i // 30 AS block, s - median(s) OVER (PARTITION BY vec_id) AS m FROM n) SELECT vec_id, block, round(sqrt(avg(m * m)), 6) AS rms FROM m WHERE block < 2 GROUP BY ALL""",
     "f2_pulses": f"{_T} SELECT record, session_id, onset, peak FROM pul",
     "f4_peak": f"{_T}{_N} SELECT record, session_id, peak, round(({_vertex('b', 'x', 'a', 'i')}) / 100, 9) AS t FROM pul JOIN nb USING (record, session_id) WHERE i = peak",
     "f5_foot": f"{_T}{_N} SELECT record, session_id, peak, round(({_vertex('b', 'x', 'a', 'i')}) / 100, 9) AS t FROM pul JOIN nb USING (record, session_id) WHERE i = onset",

@@ -32,7 +32,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     either, a temporary one is made, which is right for local mode alone.
     """
     context = spark.sparkContext
-    given = context.getConf().get("spark.checkpoint.dir")
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
     if current:
         return current
