@@ -308,6 +308,7 @@ ORACLES = {
     "o7_set_operations": f"WITH {SQL['tach']}, {SQL['ref']}, t AS (SELECT DISTINCT record, session_id FROM tach), r AS (SELECT DISTINCT record, session_id FROM ref) SELECT *, 'both' AS \"where\" FROM (SELECT * FROM t INTERSECT SELECT * FROM r) UNION ALL SELECT *, 'intervals' FROM (SELECT * FROM t EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'reference' FROM (SELECT * FROM r EXCEPT SELECT * FROM t)",
     "g1_distinct_counts": "SELECT correction, count(DISTINCT record) AS n_records, count(DISTINCT (session_id, detector)) AS n_series FROM tachogram GROUP BY ALL",
     "st_tumbling": "SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
+    "st_sliding": "SELECT event_type, make_timestamp(s * 1000000) AS start, count(*) AS n, round(max(value), 6) AS top FROM (SELECT event_type, value, (CAST(floor(epoch_us(ts) / 1e6) AS BIGINT) // 18000 - k) * 18000 AS s, epoch_us(ts) / 1e6 AS t FROM events, (VALUES (0), (1)) v(k)) WHERE t < s + 21600 GROUP BY ALL",
     "st_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOURS AS stop, count(*) AS n FROM s GROUP BY user_id, s",
     "st_band_join": "WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS n FROM (SELECT DISTINCT event_type FROM events)) SELECT a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 3600 SECONDS AND a.ts + INTERVAL 3600 SECONDS WHERE a.event_type = (SELECT event_type FROM k WHERE n = 1) AND b.event_type = (SELECT event_type FROM k WHERE n = 2)",
 }

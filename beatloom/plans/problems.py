@@ -39,9 +39,8 @@ def p3_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    intervals = faulty_levels(table(spark, folder, "tachogram", *SERIES, "k", "ibi_s"), SERIES, "k", "ibi_s", INTERVALS)
+    intervals, samples = p4_intervals(spark, folder), p4_samples(spark, folder)
     beats = faulty_beats(table(spark, folder, "ref_beats", "record", "session_id", "ref_idx", "t"), ["record", "session_id"], "ref_idx", "t")
-    samples = faulty_levels(table(spark, folder, "ppg_samples", "record", "session_id", "i", "x"), ["record", "session_id"], "i", "x", SAMPLES)
 
     def cases(df: DataFrame, field: str, detector: object, idx: str) -> DataFrame:
         return df.select(F.lit(field).alias("field_name"), "record", "session_id", detector, F.col(idx).alias("idx"))
@@ -50,6 +49,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return cases(intervals, "ibi_s", F.col("detector"), "k").unionByName(cases(beats, "t", none, "ref_idx")).unionByName(cases(samples, "x", none, "i"))
 
 
+def p4_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """The faulty intervals alone."""
+    return faulty_levels(table(spark, folder, "tachogram", *SERIES, "k", "ibi_s"), SERIES, "k", "ibi_s", INTERVALS)
+
+
+def p4_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """The faulty samples alone."""
+    return faulty_levels(table(spark, folder, "ppg_samples", "record", "session_id", "i", "x"), ["record", "session_id"], "i", "x", SAMPLES)
+
+
 def p4_by_record(spark: SparkSession, folder: str) -> DataFrame:
     """Faulty readings per record and field."""
     return p4_found(spark, folder).groupBy("record", "field_name").agg(F.count("*").alias("n_faulty"))
@@ -65,7 +74,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_grid(spark, folder).where(F.col("n_readings") == 0).select(*SERIES, "cell")
 
 
-QUERIES = {"p3_found": p3_found, "p3_summary": p3_summary, "p4_found": p4_found, "p4_by_record": p4_by_record, "p5_found": p5_found, "p5_grid": p5_grid}
+QUERIES = {"p3_found": p3_found, "p3_summary": p3_summary, "p4_found": p4_found, "p4_intervals": p4_intervals, "p4_samples": p4_samples, "p4_by_record": p4_by_record, "p5_found": p5_found, "p5_grid": p5_grid}
 
 _P3 = """
 WITH ka AS (SELECT lower(trim(record)) AS record, session_id, coalesce(CASE WHEN isnan(coverage_target) THEN NULL ELSE CAST(round(coverage_target * 100) AS BIGINT) END, -1) AS coverage_pct,
@@ -95,7 +104,22 @@ g AS (SELECT record, session_id, detector, cell, n_readings, grid_value, 'read'
 UNION ALL SELECT record, session_id, detector, cell, 0, CASE WHEN nf.t - l.t <= 20 THEN l.v + (nf.v - l.v) * ((cell + 0.5) * 5 - l.t) / (nf.t - l.t) END, CASE WHEN nf.t - l.t <= 20 THEN 'filled' ELSE 'gap' END FROM e)
 """
 
+
+
+def _level_sql(keys: str, order: str, value: str, table_name: str, impossible: str, stuck: int, half: int, scale: str, limit: float) -> str:
+    """Level rule in SQL: impossible readings and stuck runs first, the rolling median over the rest."""
+    return f"""WITH d AS (SELECT DISTINCT {keys}, {order} AS k, {value} AS x FROM {table_name} WHERE {order} IS NOT NULL AND {value} IS NOT NULL AND NOT isnan({value})),
+e AS (SELECT *, CAST(x IS DISTINCT FROM lag(x) OVER (PARTITION BY {keys} ORDER BY k) AS INT) AS new, min(x) OVER (PARTITION BY {keys}) < max(x) OVER (PARTITION BY {keys}) AS varies FROM d),
+r AS (SELECT *, sum(new) OVER (PARTITION BY {keys} ORDER BY k) AS run FROM e),
+b AS (SELECT *, ({impossible}) OR (varies AND count(*) OVER (PARTITION BY {keys}, run) >= {stuck}) AS bad FROM r),
+g AS (SELECT *, abs(x - median(x) OVER (PARTITION BY {keys} ORDER BY k ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)) AS away FROM b WHERE NOT bad),
+s AS (SELECT {keys}, greatest({scale}) AS scale FROM g GROUP BY ALL)
+SELECT {keys}, k AS {order} FROM b WHERE bad UNION ALL SELECT {keys}, k FROM g JOIN s USING ({keys}) WHERE away > {limit} * scale"""
+
+
 ORACLES = {
+    "p4_intervals": _level_sql("record, session_id, detector", "k", "ibi_s", "tachogram", "x < 0.30 OR x > 2.00", 10, 8, "1.4826 * median(away), 0.001", 6.5),
+    "p4_samples": _level_sql("record, session_id", "i", "x", "ppg_samples", "x <= 0 OR x >= 262143", 25, 3, "quantile_cont(x, 0.9) - quantile_cont(x, 0.1), 1", 0.75),
     "p3_found": _P3 + "SELECT * FROM cases",
     "p3_summary": _P3 + "SELECT kind, field_name, coverage_pct, count(*) AS n_cases FROM cases GROUP BY ALL",
     "p5_found": _P5 + "SELECT record, session_id, detector, cell FROM g WHERE n_readings = 0",
