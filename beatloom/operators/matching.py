@@ -56,9 +56,15 @@ def grid_delay(ref: DataFrame, test: DataFrame, entity: list[str], run: list[str
     key = [*entity, *run]
     pairs = band_join(ref, test, entity, -0.10 - near, 0.60 + near).withColumn("__d", F.col("tt") - F.col("rt"))
     first, last = F.ceil((F.col("__d") - near + 0.10) / 0.005 - 1e-6), F.floor((F.col("__d") + near + 0.10) / 0.005 + 1e-6)
-    on_grid = pairs.withColumn("__g", F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(139)).cast("int"))))
-    votes = on_grid.where(F.col("__g").between(0, 139)).groupBy(*key, "__g").agg(F.countDistinct("ref_idx").alias("__n"))
-    best = votes.groupBy(*key).agg(F.max(F.struct("__n", (-F.col("__g")).alias("__m"))).alias("__b")).select(*key, (-F.col("__b.__m") * 0.005 - 0.10).alias("__coarse"))
+    # A pair votes for a stretch of the grid. Of one reference's stretches each grid value counts once, so they are made
+    # disjoint, and only their ends (+1, -1) are summed: two rows a pair, not one for each grid value.
+    stretch = pairs.select(*key, "ref_idx", F.greatest(first, F.lit(0)).cast("int").alias("__lo"), F.least(last, F.lit(139)).cast("int").alias("__hi"))
+    before = F.max("__hi").over(Window.partitionBy(*key, "ref_idx").orderBy("__lo", "__hi").rowsBetween(Window.unboundedPreceding, -1))
+    alone = stretch.withColumn("__lo", F.greatest("__lo", F.coalesce(before + 1, F.lit(0)))).where(F.col("__lo") <= F.col("__hi"))
+    ends = F.array(F.struct(F.col("__lo").alias("g"), F.lit(1).alias("s")), F.struct((F.col("__hi") + 1).alias("g"), F.lit(-1).alias("s")))
+    steps = alone.select(*key, F.explode(ends).alias("__e")).groupBy(*key, F.col("__e.g").alias("__g")).agg(F.sum("__e.s").alias("__s"))
+    votes = steps.withColumn("__n", F.sum("__s").over(Window.partitionBy(*key).orderBy("__g").rowsBetween(Window.unboundedPreceding, 0)))
+    best = votes.where(F.col("__g") <= 139).groupBy(*key).agg(F.max(F.struct("__n", (-F.col("__g")).alias("__m"))).alias("__b")).select(*key, (-F.col("__b.__m") * 0.005 - 0.10).alias("__coarse"))
     rest = pairs.join(best, key).withColumn("__r", F.round(F.col("__d") - F.col("__coarse"), 9))
     nearest = rest.groupBy(*key, "__coarse", "ref_idx").agg(F.min(F.struct(F.abs("__r").alias("a"), "__r")).alias("__m"))
     fine = nearest.where(F.col("__m.a") <= near).groupBy(*key, "__coarse").agg(F.count("*").alias("__n"), F.median("__m.__r").alias("__shift"))

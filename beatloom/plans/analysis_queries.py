@@ -78,7 +78,7 @@ def x1_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """Detectors x coverages on the raw excerpts against the session's reference beats: counts and F1."""
     ensure_checkpoint_dir(spark)
     raw = signal(spark, folder)
-    prepared = co.prepare(raw, SESSION)
+    prepared = co.prepare(raw, SESSION).checkpoint()  # read by the numpy detectors and by TERMA
     anchors = de.detect(prepared, SESSION)
     fs = raw.groupBy(*SESSION).agg(F.first("fs").alias("fs"), F.count("*").alias("n"))
     beats = anchors.join(fs, SESSION).select(*RUN, F.col("idx").alias("test_idx"), (F.col("idx") / F.col("fs")).alias("t"))

@@ -122,7 +122,9 @@ def d2_terma(spark: SparkSession, folder: str) -> DataFrame:
 
 def d8_anchors(spark: SparkSession, folder: str) -> DataFrame:
     """Anchors of all six detectors, with label and kind."""
-    return de.detect(_prepared(spark, folder), SESSION).join(F.broadcast(de.registry(spark)), "detector").select(*SESSION, "detector", "detector_label", "anchor", "idx")
+    ensure_checkpoint_dir(spark)
+    prepared = _prepared(spark, folder).checkpoint()  # read by the numpy detectors and by TERMA
+    return de.detect(prepared, SESSION).join(F.broadcast(de.registry(spark)), "detector").select(*SESSION, "detector", "detector_label", "anchor", "idx")
 
 
 def _tops(spark: SparkSession, folder: str) -> DataFrame:
