@@ -44,7 +44,7 @@ def _costs(spark: SparkSession, folder: str) -> DataFrame:
 
 def _floors(spark: SparkSession, folder: str, side: str = "a") -> DataFrame:
     t = table(spark, folder, f"prv_floor_{side}").distinct()
-    return t.select(F.lower(F.trim("record")).alias("record"), "session_id", "coverage_target", *[real(F.col(c).cast("double")).alias(c) for c in ("floor_rmse", "floor_mae", "n_intervals", "n_detectors")])
+    return t.select(F.lower(F.trim("record")).alias("record"), "session_id", F.round("coverage_target", 2).alias("coverage_target"), *[real(F.col(c).cast("double")).alias(c) for c in ("floor_rmse", "floor_mae", "n_intervals", "n_detectors")])
 
 
 def _motion(spark: SparkSession, folder: str) -> DataFrame:
@@ -278,7 +278,7 @@ c AS (SELECT c0.*, lb.label, lb.place, best_s_per_min AS cost, split_part(record
 
 def _f(side: str) -> str:
     cols = ", ".join(f"CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END AS {c}" for c in ("floor_rmse", "floor_mae", "n_intervals", "n_detectors"))
-    return f"f{side} AS (SELECT lower(trim(record)) AS record, session_id, coverage_target, {cols} FROM (SELECT DISTINCT * FROM prv_floor_{side}))"
+    return f"f{side} AS (SELECT lower(trim(record)) AS record, session_id, round(coverage_target, 2) AS coverage_target, {cols} FROM (SELECT DISTINCT * FROM prv_floor_{side}))"
 
 
 _MO = "WITH m AS (SELECT record, split_part(record, '_', -1) AS activity, session_id, seg, " + ", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}" for c in ("gyro_rms_median", "gyro_rms_p90", "f1", "ibi_rmse", "rmssd_abserr", "sdnn_abserr")) + " FROM (SELECT DISTINCT record, session_id, seg, gyro_rms_median, gyro_rms_p90, f1, ibi_rmse, rmssd_abserr, sdnn_abserr FROM e4_motion))"

@@ -30,11 +30,11 @@ def sp1_dc_removal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sp2_decimate(spark: SparkSession, folder: str) -> DataFrame:
-    return _out(co.decimate(signal(spark, folder), SESSION, 5), *SESSION, "i", "x")
+    return co.decimate(signal(spark, folder), SESSION, 5).select(*SESSION, "i", F.round("x", 3).alias("x"))
 
 
 def sp3_resample(spark: SparkSession, folder: str) -> DataFrame:
-    return _out(co.resample(signal(spark, folder), SESSION, 2, 5), *SESSION, "i", "x")
+    return co.resample(signal(spark, folder), SESSION, 2, 5).select(*SESSION, "i", F.round("x", 3).alias("x"))
 
 
 def sp4_detrend(spark: SparkSession, folder: str) -> DataFrame:
@@ -282,11 +282,11 @@ SELECT record, session_id, i, round(z, 6) AS z, round(CASE WHEN count(*) OVER {_
 taps AS (SELECT k, h / (SELECT sum(h) FROM raw) AS h FROM raw),
 ends AS (SELECT record, session_id, max(i) AS last FROM signal GROUP BY ALL),
 o AS (SELECT record, session_id, unnest(range(0, last // 5 + 1)) AS j FROM ends)
-SELECT o.record, o.session_id, o.j AS i, round(sum(s.x * t.h), 6) AS x FROM o, taps t, signal s WHERE s.record = o.record AND s.session_id = o.session_id AND s.i = o.j * 5 + t.k GROUP BY ALL""",
+SELECT o.record, o.session_id, o.j AS i, round(sum(s.x * t.h), 3) AS x FROM o, taps t, signal s WHERE s.record = o.record AND s.session_id = o.session_id AND s.i = o.j * 5 + t.k GROUP BY ALL""",
     "sp3_resample": f"""{_S}, half AS (SELECT unnest([{_TAPS3}]) AS h, unnest(range(0, 51)) AS k), taps AS (SELECT k, h FROM half UNION ALL SELECT -k, h FROM half WHERE k > 0),
 ends AS (SELECT record, session_id, max(i) AS last FROM signal GROUP BY ALL),
 o AS (SELECT record, session_id, unnest(range(0, CAST(ceil((last + 1) * 2 / 5.0) AS BIGINT))) AS j FROM ends)
-SELECT o.record, o.session_id, o.j AS i, round(sum(s.x * t.h), 6) AS x FROM o, taps t, signal s WHERE (o.j * 5 - t.k) % 2 = 0 AND s.record = o.record AND s.session_id = o.session_id AND s.i = (o.j * 5 - t.k) // 2 GROUP BY ALL""",
+SELECT o.record, o.session_id, o.j AS i, round(sum(s.x * t.h), 3) AS x FROM o, taps t, signal s WHERE (o.j * 5 - t.k) % 2 = 0 AND s.record = o.record AND s.session_id = o.session_id AND s.i = (o.j * 5 - t.k) // 2 GROUP BY ALL""",
     "sp4_detrend": f"{_S} SELECT record, session_id, i, round(x - avg(x) OVER {_G} - coalesce(covar_pop(x, i) OVER {_G} / nullif(var_pop(i) OVER {_G}, 0), 0) * (i - avg(i) OVER {_G}), 6) + 0e0 AS x FROM signal",
     "sp6_normalise": f"{_Z} SELECT record, session_id, i, round(x, 6) + 0e0 AS x FROM z",
     "sp9_polarity": f"{_S}, d AS (SELECT record, session_id, x - lag(x) OVER (PARTITION BY record, session_id ORDER BY i) AS d FROM signal), m AS (SELECT *, avg(d) OVER {_G} AS m FROM d) SELECT record, session_id, CASE WHEN coalesce(avg((d - m) ** 3), 0) >= 0 THEN 1 ELSE -1 END AS polarity FROM m GROUP BY ALL",
