@@ -96,7 +96,9 @@ def greedy_matches(pairs: DataFrame, run: list[str]) -> DataFrame:
     """
     start, stop = F.col("__r") + F.least(F.col("__d"), F.lit(0)), F.col("__r") + F.greatest(F.col("__d"), F.lit(0))
     order = Window.partitionBy(*run).orderBy("__start")
-    spans = pairs.select(*run, "__lid", "__rid", start.alias("__start"), stop.alias("__stop"), F.abs("__d").alias("__d"))
+    # Shuffled before the two ends are made of the two numbers they come from.
+    placed = pairs.select(*run, "__lid", "__rid", "__r", "__d").repartition(*run)
+    spans = placed.select(*run, "__lid", "__rid", start.alias("__start"), stop.alias("__stop"), F.abs("__d").alias("__d"))
     reach = F.max("__stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("__new", (reach.isNull() | (F.col("__start") > reach)).cast("int"))
     islands = opened.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
