@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beatloom.functions.numbers import six
@@ -18,6 +21,8 @@ from beatloom.sources.adapters import SESSION, SQL, reference_beats, signal
 from beatloom.sources.tables import table
 
 WINDOW_S = 2.0
+#: The SQL of some queries names samples at 100 Hz; those have a second form, ``*_all_rates``, over the sessions of every rate.
+AT_100, EVERY = "fs = 100", "fs > 0"
 
 
 def _out(df: DataFrame, *columns: str) -> DataFrame:
@@ -101,14 +106,29 @@ def l8_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return _out(s.join(kept, SESSION).withColumn("coverage", F.col("sec") * F.col("fs") / F.col("n")), *SESSION, "coverage")
 
 
-def d2_terma_averages(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks of the two moving averages at 100 Hz sessions: first argmax and width, before the refractory rule."""
-    x = co.normalise(signal(spark, folder).where("fs = 100"), SESSION)
+def _found_rates(spark: SparkSession, folder: str, rates: str) -> list[float]:
+    """Sampling rates in the table: a handful, whatever its size."""
+    return [100.0] if rates == AT_100 else [r[0] for r in table(spark, folder, "ppg_samples", "fs").where(rates).distinct().collect()]
+
+
+def d2_terma_averages(spark: SparkSession, folder: str, rates: str = AT_100) -> DataFrame:
+    """Blocks of the two moving averages: first argmax and width, before the refractory rule."""
+    x = co.normalise(signal(spark, folder).where(rates), SESSION)
     order, whole = Window.partitionBy(*SESSION).orderBy("i"), Window.partitionBy(*SESSION)
-    sq = co.clip_square(x).withColumn("short", F.sum("sq").over(order.rowsBetween(-5, 5)) / 11).withColumn("long", F.sum("sq").over(order.rowsBetween(-33, 33)) / 67)
+    found = _found_rates(spark, folder, rates)
+
+    def mean(seconds: float) -> Column:
+        """A frame's width is fixed, so one branch for each rate there is."""
+        out = F.lit(None).cast("double")
+        for fs in found:
+            w = max(1, round(seconds * fs))
+            out = F.when(F.col("fs") == fs, F.sum("sq").over(order.rowsBetween(-(w // 2), (w - 1) // 2)) / w).otherwise(out)
+        return out
+
+    sq = co.clip_square(x).withColumn("short", mean(de.PEAK_S)).withColumn("long", mean(de.BEAT_S))
     on = sq.withColumn("gap", F.round(F.col("short") - F.col("long") - 0.02 * F.avg("sq").over(whole), 9) > 0)
     edge = on.withColumn("e", (F.col("gap") != F.coalesce(F.lag("gap").over(order), F.lit(False))).cast("int")).withColumn("b", F.sum("e").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = edge.where("gap").groupBy(*SESSION, "b").agg(F.count("*").alias("wide"), F.max(F.struct("x", (-F.col("i")).alias("n"))).alias("m")).where("wide >= 11")
+    blocks = edge.where("gap").groupBy(*SESSION, "fs", "b").agg(F.count("*").alias("wide"), F.max(F.struct("x", (-F.col("i")).alias("n"))).alias("m")).where(F.col("wide") >= F.bround(F.col("fs") * de.PEAK_S))
     return blocks.select(*SESSION, "wide", (-F.col("m.n")).alias("idx"))
 
 
@@ -127,22 +147,26 @@ def d8_anchors(spark: SparkSession, folder: str) -> DataFrame:
     return de.detect(prepared, SESSION).join(F.broadcast(de.registry(spark)), "detector").select(*SESSION, "detector", "detector_label", "anchor", "idx")
 
 
-def _tops(spark: SparkSession, folder: str) -> DataFrame:
+def _around(s: DataFrame, pick: Callable[[str], Column]) -> DataFrame:
+    """``pick`` of the 0.3 s before (``a``) and after (``b``) each sample; frames are in microseconds, so any rate will do."""
+    w = Window.partitionBy(*SESSION).orderBy("us")
+    timed = s.withColumn("us", F.round(F.col("i") * 1e6 / F.col("fs")).cast("long"))
+    return timed.withColumn("a", pick("x").over(w.rangeBetween(-300_000, -1))).withColumn("b", pick("x").over(w.rangeBetween(1, 300_000)))
+
+
+def _tops(spark: SparkSession, folder: str, rates: str) -> DataFrame:
     """Samples that are the first greatest of the 0.3 s on both sides: anchors that SQL can name."""
-    w = Window.partitionBy(*SESSION).orderBy("i")
-    s = signal(spark, folder).where("fs = 100")
-    return s.withColumn("a", F.max("x").over(w.rowsBetween(-30, -1))).withColumn("b", F.max("x").over(w.rowsBetween(1, 30))).where("x > a and x >= b").select(*SESSION, F.col("i").alias("idx"))
+    return _around(signal(spark, folder).where(rates), F.max).where("x > a and x >= b").select(*SESSION, F.col("i").alias("idx"))
 
 
-def f2_pulses(spark: SparkSession, folder: str) -> DataFrame:
-    return fi.pulses(signal(spark, folder), _tops(spark, folder), SESSION).select(*SESSION, "onset", "peak")
+def f2_pulses(spark: SparkSession, folder: str, rates: str = AT_100) -> DataFrame:
+    return fi.pulses(signal(spark, folder), _tops(spark, folder, rates), SESSION).select(*SESSION, "onset", "peak")
 
 
-def f3_onset_pulses(spark: SparkSession, folder: str) -> DataFrame:
+def f3_onset_pulses(spark: SparkSession, folder: str, rates: str = AT_100) -> DataFrame:
     """Pulses from onsets: samples that are the first least of the 0.3 s on both sides."""
-    w = Window.partitionBy(*SESSION).orderBy("i")
-    s = signal(spark, folder).where("fs = 100")
-    lows = s.withColumn("a", F.min("x").over(w.rowsBetween(-30, -1))).withColumn("b", F.min("x").over(w.rowsBetween(1, 30))).where("x < a and x <= b")
+    s = signal(spark, folder).where(rates)
+    lows = _around(s, F.min).where("x < a and x <= b")
     return fi.pulses_from_onsets(s, lows.select(*SESSION, F.col("i").alias("idx")), SESSION).select(*SESSION, "onset", "peak")
 
 
@@ -154,29 +178,34 @@ def q4_motion_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fiducial(kind: str):
-    def query(spark: SparkSession, folder: str) -> DataFrame:
+    def query(spark: SparkSession, folder: str, rates: str = AT_100) -> DataFrame:
         s = signal(spark, folder)
-        found = fi.locate(s, fi.pulses(s, _tops(spark, folder), SESSION), SESSION, kind)
+        found = fi.locate(s, fi.pulses(s, _tops(spark, folder, rates), SESSION), SESSION, kind)
         return found.select(*SESSION, "peak", F.round("t", 9).alias("t"))
 
     return query
 
 
-def f9_snapped(spark: SparkSession, folder: str) -> DataFrame:
+def f9_snapped(spark: SparkSession, folder: str, rates: str = AT_100) -> DataFrame:
     """Peaks with their times put back on the sampling grid."""
     s = signal(spark, folder)
-    found = fi.locate(s, fi.pulses(s, _tops(spark, folder), SESSION), SESSION, "peak", sub_sample=False)
+    found = fi.locate(s, fi.pulses(s, _tops(spark, folder, rates), SESSION), SESSION, "peak", sub_sample=False)
     return found.select(*SESSION, "peak", F.round("t", 9).alias("t"))
 
 
-def d3_slope_sum(spark: SparkSession, folder: str) -> DataFrame:
-    """Rises of the last 0.128 s summed (100 Hz sessions), and the threshold they start from."""
+def d3_slope_sum(spark: SparkSession, folder: str, rates: str = AT_100) -> DataFrame:
+    """Rises of the last 0.128 s summed, and the threshold they start from."""
     order, whole = Window.partitionBy(*SESSION).orderBy("i"), Window.partitionBy(*SESSION)
     up = F.coalesce(F.greatest(F.col("x") - F.lag("x").over(order), F.lit(0.0)), F.lit(0.0))
-    z = signal(spark, folder).where("fs = 100").withColumn("up", up).withColumn("z", F.sum("up").over(order.rowsBetween(-12, 0)))
-    head = F.avg(F.when(F.col("i") < 1000, F.col("z"))).over(whole)
-    seed = F.when(F.count("*").over(whole) >= 1000, 3.0 * head).otherwise(0.2 * F.max("z").over(whole))
-    return _out(z.withColumn("seed", seed), *SESSION, "i", "z", "seed")
+    found = _found_rates(spark, folder, rates)
+    z = F.lit(None).cast("double")
+    for fs in found:
+        z = F.when(F.col("fs") == fs, F.sum("up").over(order.rowsBetween(1 - max(1, round(0.128 * fs)), 0))).otherwise(z)
+    rises = signal(spark, folder).where(rates).withColumn("up", up).withColumn("z", z)
+    ten = F.bround(10 * F.col("fs"))
+    head = F.avg(F.when(F.col("i") < ten, F.col("z"))).over(whole)
+    seed = F.when(F.count("*").over(whole) >= ten, 3.0 * head).otherwise(0.2 * F.max("z").over(whole))
+    return _out(rises.withColumn("seed", seed), *SESSION, "i", "z", "seed")
 
 
 def s10_pulse_train(spark: SparkSession, folder: str) -> DataFrame:
@@ -193,29 +222,36 @@ def x7_snr(spark: SparkSession, folder: str) -> DataFrame:
     return _out(spectrum.pulse_snr(co.remove_mean(signal(spark, folder), SESSION), rates, SESSION), *SESSION, "snr_db")
 
 
+def _slower(raw: DataFrame, q: int) -> DataFrame:
+    """Each session at a ``q``-th of its own rate."""
+    fs = raw.groupBy(*SESSION).agg((F.first("fs") / q).alias("fs"))
+    return co.decimate(raw, SESSION, q).join(fs, SESSION)
+
+
 def x3_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Pulse intervals of the 100 Hz excerpts at 100, 50 and 25 Hz, on the grid and between samples: spread per session."""
+    """Pulse intervals of the excerpts at their own rate, half and a quarter of it, on the grid and between samples: spread per session."""
     ensure_checkpoint_dir(spark)
-    raw = co.prepare(signal(spark, folder).where("fs = 100"), SESSION).checkpoint()  # read by nine branches
+    raw = co.prepare(signal(spark, folder).where(EVERY), SESSION).checkpoint()  # read by nine branches
     w = Window.partitionBy(*SESSION).orderBy("peak")
     out = None
     for q in (1, 2, 4):
-        low = raw if q == 1 else co.decimate(raw, SESSION, q).withColumn("fs", F.lit(100.0 / q))
+        low = raw if q == 1 else _slower(raw, q)
+        rate = low.groupBy(*SESSION).agg(F.first("fs").alias("rate"))
         pulse = fi.pulses(low, de.detect(low, SESSION, ["findpeaks"]).drop("detector"), SESSION).checkpoint()
         for sub in (True, False):
             d = fi.locate(low, pulse, SESSION, "peak", sub).withColumn("d", (F.col("t") - F.lag("t").over(w)) * 1000.0)
-            g = d.groupBy(*SESSION).agg(F.count("d").alias("n"), F.stddev_samp("d").alias("sd_ms")).withColumn("rate", F.lit(100.0 / q)).withColumn("sub_sample", F.lit(sub))
+            g = d.groupBy(*SESSION).agg(F.count("d").alias("n"), F.stddev_samp("d").alias("sd_ms")).join(rate, SESSION).withColumn("sub_sample", F.lit(sub))
             out = g if out is None else out.unionByName(g)
     return _out(out, *SESSION, "rate", "sub_sample", "n", "sd_ms")
 
 
 def x8_decimation_loss(spark: SparkSession, folder: str) -> DataFrame:
-    """Share of a session's beats at 100 Hz that are not found within 0.05 s at 25 Hz, flagged above 2 %."""
+    """Share of a session's beats at its own rate that are not found within 0.05 s at a quarter of it, flagged above 2 %."""
     ensure_checkpoint_dir(spark)
-    raw = co.prepare(signal(spark, folder).where("fs = 100"), SESSION).checkpoint()
-    low = co.decimate(raw, SESSION, 4).withColumn("fs", F.lit(25.0))
-    full = de.detect(raw, SESSION, ["findpeaks"]).select(*SESSION, F.col("idx").alias("ref_idx"), (F.col("idx") / 100.0).alias("rt"))
-    test = de.detect(low, SESSION, ["findpeaks"]).select(*SESSION, "detector", F.col("idx").alias("test_idx"), (F.col("idx") / 25.0).alias("tt"))
+    raw = co.prepare(signal(spark, folder).where(EVERY), SESSION).checkpoint()
+    fs = raw.groupBy(*SESSION).agg(F.first("fs").alias("fs"))
+    full = de.detect(raw, SESSION, ["findpeaks"]).join(fs, SESSION).select(*SESSION, F.col("idx").alias("ref_idx"), (F.col("idx") / F.col("fs")).alias("rt"))
+    test = de.detect(_slower(raw, 4), SESSION, ["findpeaks"]).join(fs, SESSION).select(*SESSION, "detector", F.col("idx").alias("test_idx"), (F.col("idx") * 4 / F.col("fs")).alias("tt"))
     tp = ma.match(full, test, SESSION, ["detector"], 0.05).groupBy(*SESSION).agg(F.count("*").alias("tp"))
     n = full.groupBy(*SESSION).agg(F.count("*").alias("n"))
     loss = n.join(tp, SESSION, "left").withColumn("loss", 1.0 - F.coalesce("tp", F.lit(0)) / F.col("n"))
@@ -252,6 +288,8 @@ QUERIES = {
     "q4_motion_quality": q4_motion_quality,
     **{f"f{n}_{kind}": _fiducial(kind) for n, kind in ((4, "peak"), (5, "foot"), (6, "mid_upslope"), (7, "max_slope"))},
 }
+_BOTH = ["d2_terma_averages", "d3_slope_sum", "f2_pulses", "f3_onset_pulses", "f4_peak", "f5_foot", "f6_mid_upslope", "f7_max_slope", "f9_snapped"]
+QUERIES |= {f"{name}_all_rates": partial(QUERIES[name], rates=EVERY) for name in _BOTH}
 
 _S = f"WITH {SQL['signal']}"
 _G = "(PARTITION BY record, session_id)"
