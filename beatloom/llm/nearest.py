@@ -85,6 +85,16 @@ def constant_delay(left: DataFrame, right_ticks: DataFrame, entity: list[str], r
     return found.groupBy(*key).agg(F.round(F.first("__m")).cast("long").alias("__delay")).where(F.col("__delay").isNotNull())
 
 
+def run_delays(left: DataFrame, right: DataFrame, entity: list[str], run: list[str], left_id: str, right_id: str, left_time: str, right_time: str, tolerance: float) -> DataFrame:
+    """constant_delay of each run of ``left`` in seconds: ``entity``, ``run``, ``delay``."""
+    reach = round(tolerance * 1e6)
+    tick = 8 * reach
+    slim = left.where(F.col(left_id).isNotNull() & _finite(left_time)).select(*entity, *run, F.col(left_id).alias("__lid"), _micros(F.col(left_time)).alias("__l"))
+    r_rows = right.where(F.col(right_id).isNotNull() & _finite(right_time)).select(*entity, F.col(right_id).alias("__rid"), _micros(F.col(right_time)).alias("__r"))
+    found = constant_delay(slim, _ticks_of(r_rows, "__r", -reach, reach, tick), entity, run, tick)
+    return found.select(*entity, *run, (F.col("__delay") / 1e6).alias("delay"))
+
+
 def greedy_matches(pairs: DataFrame, run: list[str]) -> DataFrame:
     """Of the pairs of each run the closest first, each record at most once; ties go to the lower right, then left id.
 

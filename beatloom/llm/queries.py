@@ -28,6 +28,17 @@ def p1_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return near.withColumn("distance", F.round("distance", 6))
 
 
+def p1_nearest_every_run(spark: SparkSession, folder: str) -> DataFrame:
+    """As p1_nearest, which its SQL holds to runs with a stated delay, but of every run; an unstated delay is estimated, 0 without any pair."""
+    left = table(spark, folder, "det_beats", *ENTITY, *RUN, "test_idx", "t", "lag_s").where("test_idx is not null")
+    right = table(spark, folder, "ref_beats", *ENTITY, "ref_idx", "t").where("ref_idx is not null")
+    stated = F.when(~F.isnan("lag_s"), F.col("lag_s"))
+    delays = nearest.run_delays(left.where(stated.isNull()), right, ENTITY, RUN, "test_idx", "ref_idx", "t", "t", TOLERANCE_S)
+    placed = left.join(delays, [*ENTITY, *RUN], "left").withColumn("at", F.col("t") - F.coalesce(stated, "delay", F.lit(0.0)))
+    near = nearest.nearest_pairs(placed, right, ENTITY, [*RUN, "test_idx"], "ref_idx", "at", "t", TOLERANCE_S)
+    return near.withColumn("distance", F.round("distance", 6))
+
+
 def cost_values(spark: SparkSession, folder: str) -> DataFrame:
     """Valid costs per minute of each run once: label in one spelling, a value in milliseconds turned to seconds.
 
@@ -121,6 +132,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_nearest": p1_nearest,
+    "p1_nearest_every_run": p1_nearest_every_run,
     "p2_percentiles": p2_percentiles,
     "p2_combined": p2_combined,
     "p6_packing": p6_packing,

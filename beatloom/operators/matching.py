@@ -73,6 +73,15 @@ def grid_delay(ref: DataFrame, test: DataFrame, entity: list[str], run: list[str
     return sizes.join(known, key, "left").select(*key, F.when(F.col("n_test") >= 3, F.coalesce("delay", F.lit(0.0))).otherwise(0.0).alias("delay"))
 
 
+def with_delay(ref: DataFrame, test: DataFrame, entity: list[str], run: list[str], delay: str) -> DataFrame:
+    """``test`` (``t``) with the delay that ``grid_delay`` finds in ``delay`` of the rows that state none; a run states one or none."""
+    key = [*entity, *run]
+    stated = F.when(~F.isnan(delay), F.col(delay))
+    blank = test.where(stated.isNull()).select(*key, F.col("t").alias("tt"))
+    found = grid_delay(ref, blank, entity, run).withColumnRenamed("delay", "__found")
+    return test.join(found, key, "left").withColumn(delay, F.coalesce(stated, "__found")).drop("__found")
+
+
 def one_to_one(pairs: DataFrame, run: list[str]) -> DataFrame:
     """Of a run's pairs (``__d``, ``ref_idx``, ``test_idx``) the closest first, each beat once: a fold over the sorted pairs.
 

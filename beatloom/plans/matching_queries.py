@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,24 +22,27 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[six(df[c], c) if kind == "double" else c for c, kind in df.dtypes])
 
 
-def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """References and detections of runs whose delay is known, the delay taken off."""
+def _sides(spark: SparkSession, folder: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """References and detections, the delay taken off: of runs whose delay is stated, or of ``every`` run, an unstated one found."""
     ref = reference_beats(spark, folder).select(*SESSION, "ref_idx", F.col("t").alias("rt"), F.col("k").alias("rk"))
-    test = detected_beats(spark, folder).where(F.col("lag_s").isNotNull()).select(*RUN, "test_idx", F.round(F.col("t") - F.col("lag_s"), 9).alias("tt"), F.col("k").alias("tk"))
+    test = detected_beats(spark, folder)
+    if every:
+        test = ma.with_delay(ref, test, SESSION, RUN_ONLY, "lag_s")
+    test = test.where(F.col("lag_s").isNotNull()).select(*RUN, "test_idx", F.round(F.col("t") - F.col("lag_s"), 9).alias("tt"), F.col("k").alias("tk"))
     return ref, test
 
 
-def _matches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    ref, test = _sides(spark, folder)
+def _matches(spark: SparkSession, folder: str, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ref, test = _sides(spark, folder, every)
     return ma.match(ref.drop("rk"), test.drop("tk"), SESSION, RUN_ONLY, TOLERANCE_S), ref, test
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return ma.paired_intervals(*_matches(spark, folder), SESSION, RUN_ONLY)
+def _pairs(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
+    return ma.paired_intervals(*_matches(spark, folder, every), SESSION, RUN_ONLY)
 
 
-def j1_band_join(spark: SparkSession, folder: str) -> DataFrame:
-    ref, test = _sides(spark, folder)
+def j1_band_join(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
+    ref, test = _sides(spark, folder, every)
     pairs = ma.band_join(ref, test, SESSION, -TOLERANCE_S, TOLERANCE_S)
     return _rounded(pairs.select(*RUN, "ref_idx", "test_idx", (F.col("tt") - F.col("rt")).alias("apart")))
 
@@ -48,16 +53,23 @@ def j3_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(ma.nearest(ref, test.where("detector = 'terma'"), SESSION))
 
 
-def x9_agreement(spark: SparkSession, folder: str) -> DataFrame:
+def j3_nearest_every_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest detection of each run to each reference beat of its session, however far."""
+    ref, test = _sides(spark, folder, True)
+    asked = ref.join(test.select(*RUN).distinct(), SESSION)
+    return _rounded(ma.nearest(asked, test, RUN))
+
+
+def x9_agreement(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
     """Per detector the mean of the lesser of sensitivity and PPV, and whether it reaches 0.90."""
-    counts = ma.detection_counts(*_matches(spark, folder), SESSION, RUN_ONLY)
+    counts = ma.detection_counts(*_matches(spark, folder, every), SESSION, RUN_ONLY)
     g = counts.groupBy("detector").agg(F.count("*").alias("n_runs"), F.avg(F.least("sensitivity", "ppv")).alias("agreement"))
     return _rounded(g.withColumn("good", F.col("agreement") >= 0.90))
 
 
-def x11_best_case(spark: SparkSession, folder: str) -> DataFrame:
+def x11_best_case(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
     """The run with the best F1 of each detector; ties go to the first record and session."""
-    counts = ma.detection_counts(*_matches(spark, folder), SESSION, RUN_ONLY).where("f1 is not null")
+    counts = ma.detection_counts(*_matches(spark, folder, every), SESSION, RUN_ONLY).where("f1 is not null")
     best = counts.withColumn("f1", F.round("f1", 9)).groupBy("detector").agg(F.min(F.struct((-F.col("f1")).alias("f"), "record", "session_id")).alias("m"))
     return _rounded(best.select("detector", F.col("m.record").alias("record"), F.col("m.session_id").alias("session_id"), (-F.col("m.f")).alias("f1")))
 
@@ -80,39 +92,39 @@ def m1_delay(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(ma.grid_delay(ref, test, SESSION, RUN_ONLY))
 
 
-def m2_matches(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(_matches(spark, folder)[0])
+def m2_matches(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
+    return _rounded(_matches(spark, folder, every)[0])
 
 
-def m3_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(ma.detection_counts(*_matches(spark, folder), SESSION, RUN_ONLY))
+def m3_counts(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
+    return _rounded(ma.detection_counts(*_matches(spark, folder, every), SESSION, RUN_ONLY))
 
 
-def m3_missed(spark: SparkSession, folder: str) -> DataFrame:
+def m3_missed(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
     """Reference beats that a run of the session has no match for."""
-    matches, ref, test = _matches(spark, folder)
+    matches, ref, test = _matches(spark, folder, every)
     runs = test.select(*RUN).distinct()
     return ref.join(runs, SESSION).select(*RUN, "ref_idx").join(matches, [*RUN, "ref_idx"], "left_anti")
 
 
-def m4_paired_intervals(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(_pairs(spark, folder))
+def m4_paired_intervals(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
+    return _rounded(_pairs(spark, folder, every))
 
 
-def l2_interval_error(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(ma.interval_error(_pairs(spark, folder), RUN))
+def l2_interval_error(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
+    return _rounded(ma.interval_error(_pairs(spark, folder, every), RUN))
 
 
-def l3_bland_altman(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(ma.bland_altman(_pairs(spark, folder), RUN, "rr_s", "pp_s"))
+def l3_bland_altman(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
+    return _rounded(ma.bland_altman(_pairs(spark, folder, every), RUN, "rr_s", "pp_s"))
 
 
-def l4_concordance(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(ma.concordance(_pairs(spark, folder), RUN, "rr_s", "pp_s"))
+def l4_concordance(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
+    return _rounded(ma.concordance(_pairs(spark, folder, every), RUN, "rr_s", "pp_s"))
 
 
 def l5_equivalence(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(ma.equivalence(_pairs(spark, folder), RUN, "rr_s", "pp_s"))
+    return _rounded(ma.equivalence(_pairs(spark, folder, True), RUN, "rr_s", "pp_s"))
 
 
 def l6_hrv_error(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,8 +141,8 @@ def l6_hrv_error(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(rows.select(*RUN, "key", "ref", "test", err.alias("err"), F.abs(err).alias("abserr"), F.try_divide(100.0 * err, F.col("ref")).alias("pcterr")))
 
 
-def l7_consensus_floor(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(ma.consensus_floor(_pairs(spark, folder), SESSION))
+def l7_consensus_floor(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
+    return _rounded(ma.consensus_floor(_pairs(spark, folder, every), SESSION))
 
 
 def c1_screen(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,7 +212,11 @@ QUERIES = {
     "c4_fraction_corrected": c4_fraction_corrected,
     "x6_integrity": x6_integrity,
     "s3_annotations": s3_annotations,
+    "j3_nearest_every_run": j3_nearest_every_run,
 }
+# The SQL of these takes runs with a stated delay only; their second form takes every run.
+_STATED = ["j1_band_join", "m2_matches", "m3_counts", "m3_missed", "m4_paired_intervals", "l2_interval_error", "l3_bland_altman", "l4_concordance", "l7_consensus_floor", "x9_agreement", "x11_best_case"]
+QUERIES |= {f"{name}_every_run": partial(QUERIES[name], every=True) for name in _STATED}
 
 _PAIRS = f"""WITH {SQL['ref']}, {SQL['det']}, test AS (SELECT record, session_id, detector, test_idx, round(t - lag_s, 9) AS tt, k AS tk FROM det WHERE lag_s IS NOT NULL),
 pr AS (SELECT r.record, r.session_id, d.detector, r.ref_idx, d.test_idx, round(abs(d.tt - r.t), 9) AS d, d.tt - r.t AS apart FROM ref r JOIN test d ON r.record = d.record AND r.session_id = d.session_id AND d.tt BETWEEN r.t - 0.150000001 AND r.t + 0.150000001)"""
