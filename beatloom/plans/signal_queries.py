@@ -214,6 +214,12 @@ def s10_pulse_train(spark: SparkSession, folder: str) -> DataFrame:
     return _out(files.pulse_train(beats, SESSION, 25.0, 20.0), *SESSION, "i", "x")
 
 
+def s10_pulse_train_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """As s10_pulse_train, which its SQL holds to 20 s, but up to each session's last beat."""
+    beats = reference_beats(spark, folder).select(*SESSION, "t")
+    return _out(files.pulse_train(beats, SESSION, 25.0), *SESSION, "i", "x")
+
+
 def x7_snr(spark: SparkSession, folder: str) -> DataFrame:
     """Signal-to-noise ratio of each excerpt about the session's pulse rate."""
     w = Window.partitionBy(*SESSION).orderBy("k")
@@ -260,6 +266,7 @@ def x8_decimation_loss(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "s10_pulse_train": s10_pulse_train,
+    "s10_pulse_train_whole": s10_pulse_train_whole,
     "d3_slope_sum": d3_slope_sum,
     "f9_snapped": f9_snapped,
     "x3_rates": x3_rates,

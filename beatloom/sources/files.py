@@ -56,16 +56,19 @@ def checksums(spark: SparkSession, pattern: str, manifest: DataFrame) -> DataFra
     return both.select("name", status.alias("status"))
 
 
-def pulse_train(beats: DataFrame, keys: list[str], fs: float, duration_s: float) -> DataFrame:
+def pulse_train(beats: DataFrame, keys: list[str], fs: float, duration_s: float | None = None) -> DataFrame:
     """A synthetic pulse signal from beat times: ``keys``, ``i``, ``x``; ``beats`` has ``keys`` and ``t``.
 
     Each beat adds a raised-cosine rise of 0.12 s, an exponential decay of 0.35 s and a dicrotic bump; only the samples
-    within 2 s of a beat are made for it, and they are summed per sample.
+    within 2 s of a beat are made for it, and they are summed per sample. Without ``duration_s`` a series goes on to the
+    end of its last beat.
     """
-    n = int(fs * duration_s)
     first = F.greatest(F.lit(0), F.ceil(F.col("t") * fs)).cast("long")
-    last = F.least(F.lit(n - 1), F.floor((F.col("t") + 2.0) * fs)).cast("long")
-    near = beats.where((F.col("t") < duration_s) & (first <= last)).withColumn("i", F.explode(F.sequence(first, last)))
+    last = F.floor((F.col("t") + 2.0) * fs).cast("long")
+    if duration_s is not None:
+        last = F.least(F.lit(int(fs * duration_s) - 1), last).cast("long")
+        beats = beats.where(F.col("t") < duration_s)
+    near = beats.where(first <= last).withColumn("i", F.explode(F.sequence(first, last)))
     u = F.col("i") / fs - F.col("t")
     rise = 0.5 * (1 - F.cos(F.lit(3.141592653589793) * u / 0.12))
     fall = F.exp(-(u - 0.12) / 0.35)
