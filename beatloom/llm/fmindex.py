@@ -105,12 +105,13 @@ class FMIndex:
         """Row of the suffixes that start with ``symbol`` and go on with the suffixes above row ``at``."""
         return self.first[symbol] + self._down(symbol, at) - self.base[symbol]
 
-    def longest(self, patterns: np.ndarray, ends: np.ndarray, least: int, most: int, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def longest(self, patterns: np.ndarray, ends: np.ndarray, least: int, most: int, few: int, dropped: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Backward search from each of ``ends`` in ``patterns``, all at once.
 
         A match grows to the left until it has at most ``few`` occurrences and ``least`` symbols, or ``most`` symbols, or
         until one symbol more would have none. Returns, for matches of at least ``least`` symbols, the index of the end,
-        the length, and the first and last + 1 row.
+        the length, and the first and last + 1 row. A symbol more leaves behind the occurrences that differ there; with
+        ``dropped`` they are returned too, one row each, so every occurrence of ``least`` symbols is in the result.
         """
         lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
         alive = np.arange(len(ends))
@@ -123,6 +124,12 @@ class FMIndex:
             if length > least:
                 out = ~on
                 found.append((alive[out], length - 1, lo[out], hi[out]))
+                if dropped:
+                    left = np.flatnonzero(on & (new_hi - new_lo < hi - lo))
+                    many = hi[left] - lo[left]
+                    rows = np.repeat(lo[left], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    differ = self.last[rows] != np.repeat(symbol[left], many)
+                    found.append((np.repeat(alive[left], many)[differ], length - 1, rows[differ], rows[differ] + 1))
             alive, lo, hi = alive[on], new_lo[on], new_hi[on]
             if length >= least:
                 enough = (hi - lo <= few) if length < most else np.ones(len(alive), bool)

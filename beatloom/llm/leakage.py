@@ -184,7 +184,7 @@ def shards(pages: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[Shar
 def find_hits(shard: Shard, passages: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Located matches: page, passage, end in the passage stream, and end minus page position (the diagonal); with lengths."""
     index = FMIndex(shard.text, SYMBOLS)
-    which, length, lo, hi = index.longest(passages.stream, passages.ends, LEAST, MOST, FEW)
+    which, length, lo, hi = index.longest(passages.stream, passages.ends, LEAST, MOST, FEW, dropped=True)
     many = hi - lo
     rows = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     place = index.locate(rows)
