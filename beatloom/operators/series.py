@@ -71,15 +71,19 @@ def map_series(
     length: int,
     margin: int,
     rows: int = 200_000,
+    extra: str | None = None,
 ) -> DataFrame:
     """Rows of ``df`` (``keys`` and ``order``) that ``work`` picks.
 
     ``work`` gets the arrays of ``values`` and ``order`` of several groups in order, repeated rows taken out, and for
     each row the number of its group; it returns a mask. Rows without a value of ``order`` have no place in a series
-    and are left out; a null in a key is a value like others.
+    and are left out; a null in a key is a value like others. With ``extra``, ``work`` returns the mask and a number for
+    each row, which becomes the column of that name.
     """
     out_schema = df.select(*keys, order).schema
     names = [*keys, order]
+    if extra:
+        out_schema = out_schema.add(extra, "double")
     slim = with_chunks(df.select(*keys, order, *values).where(F.col(order).isNotNull()), order, length, margin)
     slim = slim.withColumn(GROUP, F.xxhash64(*keys, CHUNK))
     placed = slim.repartition(GROUP).sortWithinPartitions(GROUP, *keys, CHUNK, order)
@@ -95,9 +99,12 @@ def map_series(
             kept = np.flatnonzero(first)
             arrays = {v: t[v].to_numpy()[kept] for v in values}
             arrays[order] = place[kept]
-            mask = work(arrays, group[kept]) & (np.floor_divide(place[kept], length) == t[CHUNK].to_numpy()[kept])
+            found = work(arrays, group[kept])
+            mask, number = found if extra else (found, None)
+            mask = mask & (np.floor_divide(place[kept], length) == t[CHUNK].to_numpy()[kept])
             hit = kept[mask]
             if len(hit):
-                yield from t.select(names).take(pa.array(hit)).to_batches()
+                picked = t.select(names).take(pa.array(hit))
+                yield from (picked.append_column(extra, pa.array(number[mask])) if extra else picked).to_batches()
 
     return placed.mapInArrow(run, out_schema)

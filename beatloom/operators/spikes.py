@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatloom.operators.series import map_series
@@ -82,8 +82,12 @@ def rolling_median(x: np.ndarray, group: np.ndarray, half: int) -> np.ndarray:
     return (window[rows, (count - 1) // 2] + window[rows, count // 2]) / 2
 
 
-def judge_level(x: np.ndarray, group: np.ndarray, rule: LevelRule) -> np.ndarray:
-    """Mask of the faulty readings of level series that stand one after the other."""
+def judge_level(x: np.ndarray, group: np.ndarray, rule: LevelRule, varies: np.ndarray | None = None, away_of: np.ndarray | None = None) -> np.ndarray:
+    """Mask of the faulty readings of level series that stand one after the other.
+
+    For parts of series, ``varies`` says whether the series of a reading has different values; the scatter of a part says
+    nothing, so then only impossible and stuck readings are judged, and ``away_of`` takes the departures of the others.
+    """
     out = np.zeros(len(x), bool)
     real = np.flatnonzero(~np.isnan(x))
     if not len(real):
@@ -92,12 +96,16 @@ def judge_level(x: np.ndarray, group: np.ndarray, rule: LevelRule) -> np.ndarray
     impossible = ((x <= rule.low) | (x >= rule.high)) if rule.closed else ((x < rule.low) | (x > rule.high))
     new = np.r_[True, group[1:] != group[:-1]]
     at = np.flatnonzero(new)
-    varies = np.repeat(np.minimum.reduceat(x, at) < np.maximum.reduceat(x, at), np.diff(np.r_[at, len(x)]))
+    varies = varies[real] if varies is not None else np.repeat(np.minimum.reduceat(x, at) < np.maximum.reduceat(x, at), np.diff(np.r_[at, len(x)]))
     bad = impossible | ((_runs(x, group) >= rule.stuck) & varies)
     good = np.flatnonzero(~bad)
     if len(good):
         y, g = x[good], group[good]
         away = np.abs(y - rolling_median(y, g, rule.half))
+        if away_of is not None:
+            away_of[real[good]] = away
+            out[real] = bad
+            return out
         if rule.scatter == "spread":
             low, high = _by_group(y, g, [0.1, 0.9])
             scale = high - low
@@ -126,7 +134,7 @@ class RhythmRule:
 RHYTHM = RhythmRule()
 
 
-def judge_rhythm(t: np.ndarray, group: np.ndarray, rule: RhythmRule = RHYTHM) -> np.ndarray:
+def judge_rhythm(t: np.ndarray, group: np.ndarray, rule: RhythmRule = RHYTHM, varies: np.ndarray | None = None) -> np.ndarray:
     """Mask of the faulty beat times.
 
     Negative times and runs of equal times are faulty. Of the others, the cheapest chain of beats that keeps the rhythm
@@ -140,7 +148,7 @@ def judge_rhythm(t: np.ndarray, group: np.ndarray, rule: RhythmRule = RHYTHM) ->
         return out
     t, group = t[real], group[real]
     at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    varies = np.repeat(np.minimum.reduceat(t, at) < np.maximum.reduceat(t, at), np.diff(np.r_[at, len(t)]))
+    varies = varies[real] if varies is not None else np.repeat(np.minimum.reduceat(t, at) < np.maximum.reduceat(t, at), np.diff(np.r_[at, len(t)]))
     bad = (t < 0) | ((_runs(t, group) >= rule.stuck) & varies)
     good = np.flatnonzero(~bad)
     if len(good):
@@ -210,14 +218,57 @@ def _off_chain(t: np.ndarray, group: np.ndarray, rule: RhythmRule) -> np.ndarray
     return ~kept[number, column]
 
 
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & a[k].eqNullSafe(b[f"__{k}"])
+    return on
+
+
+def _by_length(slim: DataFrame, keys: list[str], order: str, value: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """The series that lie in one chunk, and the longer ones with ``__varies`` (1 or 0) of the whole series."""
+    ends = slim.where(F.col(order).isNotNull()).groupBy(*keys).agg(F.min(order).alias("__a"), F.max(order).alias("__b"), (F.min(value) < F.max(value)).cast("double").alias("__varies"))
+    long = ends.where(F.floor(F.col("__a") / length) < F.floor(F.col("__b") / length)).select(*[F.col(k).alias(f"__{k}") for k in keys], "__varies")
+    on = _same(slim, long, keys)
+    return slim.join(long, on, "left_anti"), slim.join(long, on).select(*[slim[c] for c in slim.columns], "__varies")
+
+
 def faulty_levels(df: DataFrame, keys: list[str], order: str, value: str, rule: LevelRule, length: int = 50_000) -> DataFrame:
-    """``keys`` and ``order`` of the readings of ``value`` that ``rule`` finds faulty, each once."""
+    """``keys`` and ``order`` of the readings of ``value`` that ``rule`` finds faulty, each once.
+
+    A series longer than a chunk has its departures from the rolling median, its runs and impossible readings by chunk,
+    and its scatter over the whole series.
+    """
     slim = df.select(*keys, F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value))
     margin = max(rule.stuck, 4 * rule.half, 64)
-    return map_series(slim, keys, order, [value], lambda a, g: judge_level(a[value], g, rule), length, margin)
+    short, long = _by_length(slim, keys, order, value, length)
+    found = map_series(short, keys, order, [value], lambda a, g: judge_level(a[value], g, rule), length, margin)
+
+    def part(of_value: bool) -> DataFrame:
+        """Departures (or values) of the readings of long series, -1 (NaN) for those that are bad already."""
+
+        def work(a: dict[str, np.ndarray], g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            away = np.full(len(g), -1.0)
+            judge_level(a[value], g, rule, a["__varies"] > 0, away)
+            return np.ones(len(g), bool), np.where(away >= 0, a[value], np.nan) if of_value else away
+
+        return map_series(long, keys, order, [value, "__varies"], work, length, margin, extra="__v")
+
+    away = part(False)
+    if rule.scatter == "spread":
+        q = F.percentile("__v", F.array(F.lit(0.1), F.lit(0.9)))
+        scale = part(True).where(~F.isnan("__v")).groupBy(*keys).agg((q[1] - q[0]).alias("__scale"))
+    else:
+        scale = away.where("__v >= 0").groupBy(*keys).agg((1.4826 * F.percentile("__v", F.lit(0.5))).alias("__scale"))
+    scale = scale.select(*[F.col(k).alias(f"__{k}") for k in keys], "__scale")
+    judged = away.join(scale, _same(away, scale, keys), "left")
+    bad = (F.col("__v") < 0) | (F.col("__v") > rule.limit * F.greatest("__scale", F.lit(rule.floor)))
+    return found.unionByName(judged.where(bad).select(*[away[c] for c in (*keys, order)]))
 
 
 def faulty_beats(df: DataFrame, keys: list[str], order: str, time: str, rule: RhythmRule = RHYTHM, length: int = 4_096) -> DataFrame:
     """``keys`` and ``order`` of the beat times that leave the rhythm of their series, each once; rows without ``order`` are marks."""
     slim = df.select(*keys, F.col(order).cast("long").alias(order), F.col(time).cast("double").alias(time)).where(F.col(time).isNotNull() & ~F.isnan(time))
-    return map_series(slim, keys, order, [time], lambda a, g: judge_rhythm(a[time], g, rule), length, 64, rows=60_000)
+    short, long = _by_length(slim, keys, order, time, length)
+    found = map_series(short, keys, order, [time], lambda a, g: judge_rhythm(a[time], g, rule), length, 64, rows=60_000)
+    return found.unionByName(map_series(long, keys, order, [time, "__varies"], lambda a, g: judge_rhythm(a[time], g, rule, a["__varies"] > 0), length, 64, rows=60_000))
