@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, name: str = "beatloom") -> SparkSession:
@@ -29,13 +30,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
     ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset, and no folder was set on the context
-    either, a temporary one is made, which is right for local mode alone.
+    either, a temporary one is made, and in local mode alone: executors of a cluster could not share it, so there a
+    RuntimeError is raised.
     """
     context = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
     if current:
         return current
+    if not given and not context.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = given or tempfile.mkdtemp(prefix="beatloom-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what is read more than once is computed once, and its lineage ends there."""
+    folder = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
