@@ -1,12 +1,13 @@
 """Languages of documents and of their mixed segments: multinomial naive Bayes over hashed character n-grams.
 
 fit learns log probabilities of hashed n-grams for each language from a bounded sample of labelled documents, whose
-labels may be wrong at times; two rounds of relabelling line by line clean them. The matrix (2^16 x languages) has a
+labels may be wrong at times; three rounds of relabelling line by line clean them. The matrix (2^16 x languages) has a
 fixed size and is broadcast. In the tasks numpy scores all lines of a batch at once (sparse: one table look-up for each
 n-gram), and a Viterbi pass over the lines of each page, in reading order, finds the segments.
 
 Null and blank texts have no language and get no row. A text of one line is scored as it is. Rows that are repeated are
-scored again. Empty tables give empty results.
+scored again. Empty tables give empty results. Where no document has a label that names a language there is nothing to
+learn from: the model is None, and no document gets a row.
 """
 
 from __future__ import annotations
@@ -89,15 +90,27 @@ def _learn(lines: list[str], label: np.ndarray) -> np.ndarray:
     return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit(df: DataFrame, key: str, text: str, label: str, sample: int = 4_000) -> np.ndarray:
-    """The model, from about ``sample`` labelled documents, chosen by the hash of ``key`` from the whole table.
+def draw(df: DataFrame, key: str, many: int, total: int) -> DataFrame:
+    """``many`` rows of ``df`` (of ``total``), those with the least hash of ``key``: the same rows however they are spread.
+
+    A bound on the whole 64-bit hash lets about 1.5 x ``many`` rows through, whatever the total, so few are sorted.
+    """
+    h = F.xxhash64(key)
+    share = min(1.0, 1.5 * many / max(1, total) + 1e-18)
+    bound = min(2**63 - 1, -(2**63) + int(share * 2**64))
+    return df.where(h <= F.lit(bound)).orderBy(h, key).limit(many)
+
+
+def fit(df: DataFrame, key: str, text: str, label: str, sample: int = 4_000) -> np.ndarray | None:
+    """The model, from ``sample`` labelled documents (or all, if they are fewer), chosen by the hash of ``key`` from the whole table.
 
     ``sample`` bounds what is brought together for training, however many documents there are.
     """
-    labelled = df.select(key, text, named_language(F.col(label)).alias("__lang")).where(F.col("__lang").isNotNull() & F.col(text).isNotNull())
-    total = max(1, df.count())
-    share = min(1.0, sample / total)
-    drawn = labelled.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(round(share * 1_000_000))).limit(2 * sample)
+    labelled = df.select(key, text, named_language(F.col(label)).alias("__lang")).where("__lang is not null")
+    total = labelled.count()  # of the labels alone: texts are not read for it
+    if not total:
+        return None
+    drawn = draw(labelled.where(F.length(F.trim(text)) > 0), key, sample, total)
     rows = drawn.select(text, "__lang").toPandas()
     lines: list[str] = []
     label_of: list[int] = []
@@ -106,7 +119,9 @@ def fit(df: DataFrame, key: str, text: str, label: str, sample: int = 4_000) ->
         lines += own
         label_of += [LANGS.index(lang)] * len(own)
     if not lines:
-        return np.zeros((len(LANGS), 1 << BITS), np.float32)
+        if labelled.where(F.length(F.trim(text)) > 0).isEmpty():
+            return None
+        raise ValueError(f"no document drawn for training out of {total}")
     given = np.array(label_of)
     model = _learn(lines, given)
     for _ in range(3):
@@ -197,14 +212,19 @@ def stretches(lines: list[str], row: np.ndarray, model: np.ndarray) -> Stretches
 SEGMENTS = "segment long, lang string, first_line long, last_line long, n_words long, words_in_a_row long, confidence double"
 
 
-def language_segments(df: DataFrame, key: list[str], text: str, boxes: str, model: np.ndarray) -> DataFrame:
-    """Each document's stretches of one language, in reading order: ``key`` and SEGMENTS (lines counted from 0)."""
+def language_segments(df: DataFrame, key: list[str], text: str, boxes: str, model: np.ndarray | None) -> DataFrame:
+    """Each document's stretches of one language, in reading order: ``key`` and SEGMENTS (lines counted from 0).
+
+    Without a model (see fit) there are none.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = df.select(*key).schema
     for part in SEGMENTS.split(", "):
         schema = schema.add(part.split()[0], part.split()[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if shared.value is None:
+            return
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)

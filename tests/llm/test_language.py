@@ -49,6 +49,26 @@ def test_empty(spark):
     assert cases(spark, [(1, None, "en", None, "x")])[2] == set()
 
 
+def test_draw_at_every_size(spark):
+    """The bound on the hash never lets nothing through, and the same rows come out however they are spread."""
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    few = {r[0] for r in language.draw(df, "doc_id", 50, 20_000).collect()}
+    assert len(few) == 50
+    assert few == {r[0] for r in language.draw(df.repartition(7), "doc_id", 50, 20_000).collect()}
+    assert few == {r[0] for r in df.orderBy(F.xxhash64("doc_id")).limit(50).collect()}
+    for total in (4 * 10**9, 8 * 10**9, 10**11, 10**13):
+        share = 1.5 * 4_000 / total
+        bound = -(2**63) + int((share + 1e-18) * 2**64)
+        assert (bound + 2**63) * total / 2**64 > 5_900  # rows let through
+    assert language.draw(df, "doc_id", 50, 0).count() == 50
+
+
+def test_no_labels(spark, corpus):
+    rows = [(r[0], r[1], None, None, "x") for r in corpus]
+    seg, pages, got = cases(spark, rows)
+    assert got == set() and seg.count() == 0
+
+
 def test_held_out_accuracy(spark, folder):
     """Passages of the evaluation set, whose language is known, are never trained on."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
