@@ -12,7 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beatloom.operators.series import map_series
+from beatloom.operators.series import dense, exact_quantiles, map_series
+from beatloom.session import written
 
 
 @dataclass(frozen=True)
@@ -22,8 +23,9 @@ class LevelRule:
     low, high: a reading at or beyond ``low``/``high`` is impossible if ``closed``, else only beyond them.
     half: readings on each side in the rolling median.
     limit: a reading is a spike if it departs from the rolling median by more than ``limit`` times the scatter.
-    scatter: "residual" is 1.4826 x the median absolute departure of the series from its rolling median; "spread" is
-    the distance between its 10th and 90th percentile, for pulsating signals, whose flanks depart from any short median.
+    scatter: 1.4826 x a median absolute deviation of the series: with "residual" that of the readings from their rolling
+    median; with "step" that of the first differences from none, for pulsating signals sampled many times a pulse, of
+    which most lie on flanks and so on their rolling median.
     stuck: length from which a run of equal readings is faulty.
     floor: least scatter, for nearly constant series.
     """
@@ -39,7 +41,7 @@ class LevelRule:
 
 
 INTERVALS = LevelRule(low=0.30, high=2.00, closed=False, half=8, limit=6.5, scatter="residual", stuck=10, floor=0.001)
-SAMPLES = LevelRule(low=0.0, high=262143.0, closed=True, half=3, limit=0.75, scatter="spread", stuck=25, floor=1.0)
+SAMPLES = LevelRule(low=0.0, high=262143.0, closed=True, half=3, limit=18.0, scatter="step", stuck=25, floor=0.5)
 
 
 def _runs(x: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -82,35 +84,44 @@ def rolling_median(x: np.ndarray, group: np.ndarray, half: int) -> np.ndarray:
     return (window[rows, (count - 1) // 2] + window[rows, count // 2]) / 2
 
 
-def judge_level(x: np.ndarray, group: np.ndarray, rule: LevelRule, varies: np.ndarray | None = None, away_of: np.ndarray | None = None) -> np.ndarray:
-    """Mask of the faulty readings of level series that stand one after the other.
+def steps(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Distance of each reading from the one before it in its group; NaN for the first."""
+    out = np.full(len(x), np.nan)
+    out[1:] = np.where(group[1:] == group[:-1], np.abs(np.diff(x)), np.nan)
+    return out
 
-    For parts of series, ``varies`` says whether the series of a reading has different values; the scatter of a part says
-    nothing, so then only impossible and stuck readings are judged, and ``away_of`` takes the departures of the others.
-    """
+
+def impossible_or_stuck(x: np.ndarray, group: np.ndarray, rule: LevelRule, varies: np.ndarray) -> np.ndarray:
+    impossible = ((x <= rule.low) | (x >= rule.high)) if rule.closed else ((x < rule.low) | (x > rule.high))
+    return impossible | ((_runs(x, group) >= rule.stuck) & varies)
+
+
+def _varies(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether each reading's group has different values."""
+    at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    return np.repeat(np.minimum.reduceat(x, at) < np.maximum.reduceat(x, at), np.diff(np.r_[at, len(x)]))
+
+
+def judge_level(x: np.ndarray, group: np.ndarray, rule: LevelRule) -> np.ndarray:
+    """Mask of the faulty readings of whole level series that stand one after the other."""
     out = np.zeros(len(x), bool)
     real = np.flatnonzero(~np.isnan(x))
     if not len(real):
         return out
     x, group = x[real], group[real]
-    impossible = ((x <= rule.low) | (x >= rule.high)) if rule.closed else ((x < rule.low) | (x > rule.high))
-    new = np.r_[True, group[1:] != group[:-1]]
-    at = np.flatnonzero(new)
-    varies = varies[real] if varies is not None else np.repeat(np.minimum.reduceat(x, at) < np.maximum.reduceat(x, at), np.diff(np.r_[at, len(x)]))
-    bad = impossible | ((_runs(x, group) >= rule.stuck) & varies)
+    bad = impossible_or_stuck(x, group, rule, _varies(x, group))
     good = np.flatnonzero(~bad)
     if len(good):
         y, g = x[good], group[good]
         away = np.abs(y - rolling_median(y, g, rule.half))
-        if away_of is not None:
-            away_of[real[good]] = away
-            out[real] = bad
-            return out
-        if rule.scatter == "spread":
-            low, high = _by_group(y, g, [0.1, 0.9])
-            scale = high - low
-        else:
-            scale = 1.4826 * _by_group(away, g, [0.5])[0]
+        spread = away if rule.scatter == "residual" else steps(y, g)
+        known = np.flatnonzero(~np.isnan(spread))
+        scale = np.zeros(len(y))
+        if len(known):
+            at = np.flatnonzero(np.r_[True, g[known][1:] != g[known][:-1]])
+            middle = np.full(int(g[-1]) + 1, 0.0)
+            middle[g[known][at]] = _by_group(spread[known], g[known], [0.5])[0][at]
+            scale = 1.4826 * middle[g]
         bad[good] = away > rule.limit * np.maximum(scale, rule.floor)
     out[real] = bad
     return out
@@ -118,11 +129,24 @@ def judge_level(x: np.ndarray, group: np.ndarray, rule: LevelRule, varies: np.nd
 
 @dataclass(frozen=True)
 class RhythmRule:
-    """How beat times are judged: see judge_rhythm."""
+    """How beat times are judged: see judge_rhythm.
+
+    stuck: length from which a run of equal times is faulty.
+    half: intervals on each side in the rolling median and the rolling median absolute deviation.
+    limit, band: an interval is suspect if it departs from the rolling median by more than ``limit`` times the scatter
+    or by more than the share ``band`` of it; ``band`` is also how far off the rhythm a kept step may be.
+    context: beats on each side of a suspect stretch that are looked at with it.
+    reach: kept beats follow each other with fewer than this many left out between them.
+    longest_gap_s: a later beat is no beat of the session (a recording's pause is shorter).
+    drop, broken, gap, skipped: prices of leaving a beat out, of a step off the rhythm, of a stretch without beats, and
+    of a step over missed beats.
+    """
 
     stuck: int = 3
     half: int = 5
+    limit: float = 3.0
     band: float = 0.2
+    context: int = 14
     longest_gap_s: float = 600.0
     reach: int = 12
     drop: float = 1.0
@@ -134,62 +158,106 @@ class RhythmRule:
 RHYTHM = RhythmRule()
 
 
+def local_interval(t: np.ndarray, group: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each beat the interval to the one before it, and the rolling median and scatter of the intervals there.
+
+    A beat without a usable interval (0.2 to 3 s) takes both from the beat before it, else from the one after it.
+    """
+    step = np.r_[np.nan, np.diff(t)]
+    new = np.r_[True, group[1:] != group[:-1]]
+    step[new] = np.nan
+    usable = np.flatnonzero((step > 0.2) & (step < 3.0))
+    local, scatter = np.full(len(t), np.nan), np.full(len(t), np.nan)
+    if len(usable):
+        local[usable] = rolling_median(step[usable], group[usable], half)
+        scatter[usable] = 1.4826 * rolling_median(np.abs(step[usable] - local[usable]), group[usable], half)
+    number = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    ends = np.r_[at[1:], len(t)]
+    has = ~np.isnan(local)
+    before = np.maximum.accumulate(np.where(has, np.arange(len(t)), -1))
+    before = np.where(before >= at[number], before, -1)
+    after = np.minimum.accumulate(np.where(has, np.arange(len(t)), len(t))[::-1])[::-1]
+    after = np.where(after < ends[number], after, -1)
+    source = np.where(before >= 0, before, after)
+    known = np.maximum(source, 0)
+    return step, np.where(source >= 0, local[known], 0.8), np.where(source >= 0, scatter[known], 0.0)
+
+
+def suspect_beats(t: np.ndarray, group: np.ndarray, rule: RhythmRule = RHYTHM) -> tuple[np.ndarray, np.ndarray]:
+    """Hampel filter on the intervals: mask of the beats at either end of an interval that departs, and the local interval."""
+    step, local, scatter = local_interval(t, group, rule.half)
+    first = np.isnan(step)
+    away = np.abs(step - local)
+    odd = ~first & ((step <= 0.2) | (step >= 3.0) | (away > rule.limit * np.maximum(scatter, 0.004)) | (away > rule.band * local))
+    return odd | np.r_[odd[1:], False], local
+
+
 def judge_rhythm(t: np.ndarray, group: np.ndarray, rule: RhythmRule = RHYTHM, varies: np.ndarray | None = None) -> np.ndarray:
     """Mask of the faulty beat times.
 
-    Negative times and runs of equal times are faulty. Of the others, the cheapest chain of beats that keeps the rhythm
-    is found: leaving a beat out costs ``drop``; a step to the next kept beat costs little if it is within ``band`` of
-    the local interval or of a whole number of them, ``gap`` if it is a longer stretch without beats, and ``broken``
-    otherwise (also a step back in time or beyond ``longest_gap_s``). Beats outside the chain are faulty.
+    Negative times and runs of equal times are faulty. Of the others, a Hampel filter on the intervals (rolling median
+    and rolling median absolute deviation) finds the suspect stretches. An interval departs at both of its ends, so in
+    each stretch the cheapest chain of beats that keeps the rhythm tells which of them has left it: leaving a beat out
+    costs ``drop``; a step to the next kept beat costs little if it is within ``band`` of the local interval or of a
+    whole number of them, ``gap`` if it is a longer stretch without beats, and ``broken`` otherwise (also a step back in
+    time or beyond ``longest_gap_s``). Suspect beats outside the chain are faulty.
     """
     out = np.zeros(len(t), bool)
     real = np.flatnonzero(~np.isnan(t))
     if not len(real):
         return out
     t, group = t[real], group[real]
-    at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    varies = varies[real] if varies is not None else np.repeat(np.minimum.reduceat(t, at) < np.maximum.reduceat(t, at), np.diff(np.r_[at, len(t)]))
+    varies = varies[real] if varies is not None else _varies(t, group)
     bad = (t < 0) | ((_runs(t, group) >= rule.stuck) & varies)
     good = np.flatnonzero(~bad)
     if len(good):
-        bad[good] = _off_chain(t[good], group[good], rule)
+        t, group = t[good], group[good]
+        suspect, local = suspect_beats(t, group, rule)
+        near = suspect.copy()
+        for k in range(1, rule.context + 1):
+            near[k:] |= suspect[:-k] & (group[k:] == group[:-k])
+            near[:-k] |= suspect[k:] & (group[:-k] == group[k:])
+        at = np.flatnonzero(near)
+        if len(at):
+            stretch = np.cumsum(np.r_[True, (np.diff(at) > 1) | (group[at][1:] != group[at][:-1])])
+            bad[good[at]] = _off_chain(t[at], local[at], stretch, rule) & suspect[at]
     out[real] = bad
     return out
 
 
-def _off_chain(t: np.ndarray, group: np.ndarray, rule: RhythmRule) -> np.ndarray:
-    step = np.r_[np.nan, np.diff(t)]
-    step[np.r_[True, group[1:] != group[:-1]]] = np.nan
-    usable = (step > 0.2) & (step < 3.0)
-    local = np.full(len(t), np.nan)
-    if usable.any():
-        local[usable] = rolling_median(step[usable], group[usable], rule.half)
-    # A beat without a usable step takes the interval of the beat before it, else of the one after it.
-    new = np.r_[True, group[1:] != group[:-1]]
-    number = np.cumsum(new) - 1
-    at = np.flatnonzero(new)
-    index = np.where(~np.isnan(local), np.arange(len(t)), -1)
-    before = np.maximum.accumulate(index)
-    before = np.where(before >= at[number], before, -1)
-    index = np.where(~np.isnan(local), np.arange(len(t)), len(t))
-    after = np.minimum.accumulate(index[::-1])[::-1]
-    ends = np.r_[at[1:], len(t)]
-    after = np.where(after < ends[number], after, -1)
-    source = np.where(before >= 0, before, after)
-    local = np.where(source >= 0, local[np.maximum(source, 0)], 0.8)
-
-    sizes = np.diff(np.r_[at, len(t)])
-    wide = int(sizes.max())
-    column = np.arange(len(t)) - at[number]
-    grid_t = np.full((len(sizes), wide), np.nan)
-    grid_m = np.full((len(sizes), wide), 0.8)
-    grid_t[number, column] = t
-    grid_m[number, column] = local
-    cost = np.full((len(sizes), wide), np.inf)
-    back = np.full((len(sizes), wide), -1, np.int32)
+def _off_chain(t: np.ndarray, local: np.ndarray, group: np.ndarray, rule: RhythmRule) -> np.ndarray:
+    """Mask of the beats outside the cheapest chain of their group; groups of like size are laid side by side."""
+    head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[head, len(t)])
+    out = np.zeros(len(t), bool)
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        least = int(sizes[order[at]])
+        stop = int(np.searchsorted(sizes[order], max(least + 4, least * 5 // 4), side="right"))
+        stop = max(at + 1, min(stop, at + 2_000_000 // (2 * least)))
+        some = order[at:stop]
+        n = sizes[some]
+        rows = np.repeat(np.arange(len(some)), n)
+        column = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = np.repeat(head[some], n) + column
+        grid_t, grid_m = np.full((len(some), int(n.max())), np.nan), np.full((len(some), int(n.max())), 0.8)
+        grid_t[rows, column] = t[place]
+        grid_m[rows, column] = local[place]
+        out[place] = ~_chains(grid_t, grid_m, n, rule)[rows, column]
+        at = stop
+    return out
+
+
+def _chains(grid_t: np.ndarray, grid_m: np.ndarray, sizes: np.ndarray, rule: RhythmRule) -> np.ndarray:
+    """Which beats of each row (``sizes`` of them) are in its cheapest chain."""
+    many, wide = grid_t.shape
+    cost = np.full((many, wide), np.inf)
+    back = np.full((many, wide), -1, np.int32)
     for j in range(wide):
-        best = np.full(len(sizes), float(j) * rule.drop)  # all beats before this one are left out
-        link = np.full(len(sizes), -1, np.int32)
+        best = np.full(many, float(j) * rule.drop)  # all beats before this one are left out
+        link = np.full(many, -1, np.int32)
         m = grid_m[:, j]
         for i in range(max(0, j - rule.reach), j):
             gap_s = grid_t[:, j] - grid_t[:, i]
@@ -209,13 +277,13 @@ def _off_chain(t: np.ndarray, group: np.ndarray, rule: RhythmRule) -> np.ndarray
     left = (sizes[:, None] - 1 - np.arange(wide)[None, :]) * rule.drop
     final = np.where(left >= 0, cost + left, np.inf)
     place = np.argmin(final, axis=1)
-    kept = np.zeros((len(sizes), wide), bool)
-    rows = np.arange(len(sizes))
+    kept = np.zeros((many, wide), bool)
+    rows = np.arange(many)
     while len(rows):
         kept[rows, place] = True
         place = back[rows, place]
         rows, place = rows[place >= 0], place[place >= 0]
-    return ~kept[number, column]
+    return kept
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
@@ -225,50 +293,55 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return on
 
 
-def _by_length(slim: DataFrame, keys: list[str], order: str, value: str, length: int) -> tuple[DataFrame, DataFrame]:
-    """The series that lie in one chunk, and the longer ones with ``__varies`` (1 or 0) of the whole series."""
+def _by_length(slim: DataFrame, keys: list[str], order: str, value: str, length: int) -> tuple[DataFrame, DataFrame | None]:
+    """The series that lie in one chunk, and the rows of the longer ones (None if there are none), each place once.
+
+    A longer series' rows come with ``__varies`` (1 or 0), which tells of the whole series.
+    """
     ends = slim.where(F.col(order).isNotNull()).groupBy(*keys).agg(F.min(order).alias("__a"), F.max(order).alias("__b"), (F.min(value) < F.max(value)).cast("double").alias("__varies"))
     long = ends.where(F.floor(F.col("__a") / length) < F.floor(F.col("__b") / length)).select(*[F.col(k).alias(f"__{k}") for k in keys], "__varies")
+    long = written(long, "long-series")
+    if long.isEmpty():
+        return slim, None
     on = _same(slim, long, keys)
-    return slim.join(long, on, "left_anti"), slim.join(long, on).select(*[slim[c] for c in slim.columns], "__varies")
+    rows = slim.where(F.col(order).isNotNull()).join(long, on).groupBy(*[slim[k] for k in keys], slim[order]).agg(F.min(slim[value]).alias(value), F.first("__varies").alias("__varies"))
+    return slim.join(long, on, "left_anti"), rows
 
 
 def faulty_levels(df: DataFrame, keys: list[str], order: str, value: str, rule: LevelRule, length: int = 50_000) -> DataFrame:
     """``keys`` and ``order`` of the readings of ``value`` that ``rule`` finds faulty, each once.
 
-    A series longer than a chunk has its departures from the rolling median, its runs and impossible readings by chunk,
-    and its scatter over the whole series.
+    A series that does not lie in one stretch of ``length`` places is judged in chunks with margins: impossible and
+    stuck readings first, then, over the readings that are left, numbered anew, the rolling median; its scatter is taken
+    over the whole series. So the result is the same for every ``length``.
     """
     slim = df.select(*keys, F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value))
-    margin = max(rule.stuck, 4 * rule.half, 64)
     short, long = _by_length(slim, keys, order, value, length)
-    found = map_series(short, keys, order, [value], lambda a, g: judge_level(a[value], g, rule), length, margin)
-
-    def part(of_value: bool) -> DataFrame:
-        """Departures (or values) of the readings of long series, -1 (NaN) for those that are bad already."""
-
-        def work(a: dict[str, np.ndarray], g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            away = np.full(len(g), -1.0)
-            judge_level(a[value], g, rule, a["__varies"] > 0, away)
-            return np.ones(len(g), bool), np.where(away >= 0, a[value], np.nan) if of_value else away
-
-        return map_series(long, keys, order, [value, "__varies"], work, length, margin, extra="__v")
-
-    away = part(False)
-    if rule.scatter == "spread":
-        q = F.percentile("__v", F.array(F.lit(0.1), F.lit(0.9)))
-        scale = part(True).where(~F.isnan("__v")).groupBy(*keys).agg((q[1] - q[0]).alias("__scale"))
-    else:
-        scale = away.where("__v >= 0").groupBy(*keys).agg((1.4826 * F.percentile("__v", F.lit(0.5))).alias("__scale"))
-    scale = scale.select(*[F.col(k).alias(f"__{k}") for k in keys], "__scale")
-    judged = away.join(scale, _same(away, scale, keys), "left")
-    bad = (F.col("__v") < 0) | (F.col("__v") > rule.limit * F.greatest("__scale", F.lit(rule.floor)))
-    return found.unionByName(judged.where(bad).select(*[away[c] for c in (*keys, order)]))
+    margin = max(rule.stuck, 2 * rule.half + 2)
+    found = map_series(short, keys, order, [value], lambda a, g: judge_level(a[value], g, rule), length, 0)
+    if long is None:
+        return found
+    first = lambda a, g: {"__bad": impossible_or_stuck(a[value], g, rule, a["__varies"] > 0).astype(float)}
+    judged = written(map_series(dense(long, keys, order, "__n", length), keys, "__n", [value, "__varies"], first, length, margin, keep=[order, value], extra=["__bad"]), "judged")
+    second = lambda a, g: {"__away": np.abs(a[value] - rolling_median(a[value], g, rule.half)), "__step": steps(a[value], g)}
+    good = dense(judged.where("__bad = 0").drop("__n"), keys, order, "__n", length)
+    looked = written(map_series(good, keys, "__n", [value], second, length, margin, keep=[order], extra=["__away", "__step"]), "departures")
+    middle = exact_quantiles(looked, keys, "__away" if rule.scatter == "residual" else "__step", [0.5])
+    scale = middle.select(*[F.col(k).alias(f"__{k}") for k in keys], (1.4826 * F.col("quantiles")[0]).alias("__scale"))
+    spikes = looked.join(scale, _same(looked, scale, keys), "left").where(F.col("__away") > rule.limit * F.greatest("__scale", F.lit(rule.floor)))
+    return found.unionByName(judged.where("__bad = 1").select(*keys, order)).unionByName(spikes.select(*[looked[c] for c in (*keys, order)]))
 
 
 def faulty_beats(df: DataFrame, keys: list[str], order: str, time: str, rule: RhythmRule = RHYTHM, length: int = 4_096) -> DataFrame:
-    """``keys`` and ``order`` of the beat times that leave the rhythm of their series, each once; rows without ``order`` are marks."""
+    """``keys`` and ``order`` of the beat times that leave the rhythm of their series, each once; rows without ``order`` are marks.
+
+    A longer series is judged in chunks of ``length`` beats with a margin: a beat's verdict needs the beats around it.
+    """
     slim = df.select(*keys, F.col(order).cast("long").alias(order), F.col(time).cast("double").alias(time)).where(F.col(time).isNotNull() & ~F.isnan(time))
     short, long = _by_length(slim, keys, order, time, length)
-    found = map_series(short, keys, order, [time], lambda a, g: judge_rhythm(a[time], g, rule), length, 64, rows=60_000)
-    return found.unionByName(map_series(long, keys, order, [time, "__varies"], lambda a, g: judge_rhythm(a[time], g, rule, a["__varies"] > 0), length, 64, rows=60_000))
+    found = map_series(short, keys, order, [time], lambda a, g: judge_rhythm(a[time], g, rule), length, 0, rows=60_000)
+    if long is None:
+        return found
+    judge = lambda a, g: judge_rhythm(a[time], g, rule, a["__varies"] > 0)
+    parts = map_series(dense(long, keys, order, "__n", length), keys, "__n", [time, "__varies"], judge, length, 128, rows=60_000, keep=[order])
+    return found.unionByName(parts.select(*keys, order))
