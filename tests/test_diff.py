@@ -1,6 +1,8 @@
 import math
 
-from beatloom.operators.diff import Field, latest, table_diff
+import pytest
+
+from beatloom.operators.diff import Field, latest, table_diff, tree_depth
 
 SCHEMA = "k string, j long, x double, n long, extra string"
 FIELDS = [Field("x", 1e-6), Field("n")]
@@ -23,6 +25,29 @@ def test_noise_over_a_cell_boundary_is_no_difference(spark):
     assert cases(spark, [("a", 1, 1.0, 1, "")], [("a", 1, 1.0 + 2e-6, 1, "")]) == {("a", 1, "differs", "x")}
 
 
+@pytest.mark.parametrize("x, y, apart", [(1e14, 2e14, True), (1e300, -1e300, True), (9e15, 9e15 + 2, True), (math.inf, math.inf, False), (math.inf, -math.inf, True), (math.inf, 1e18, True), (1e14, 1e14, False), (2.0**53 * 1e-6, 2.0**53 * 1e-6 + 1e-5, True)])
+def test_values_of_any_size(spark, x, y, apart):
+    assert cases(spark, [("a", 1, x, 1, "")], [("a", 1, y, 1, "")]) == ({("a", 1, "differs", "x")} if apart else set())
+
+
+def test_whole_numbers_of_any_size(spark):
+    fields = [Field("n", 1e-6)]
+    run = lambda m, n: table_diff(*[spark.createDataFrame([("a", 1, 0.0, v, "")], SCHEMA) for v in (m, n)], ["k", "j"], fields).count()
+    assert [run(2**63 - 1, -(2**63)), run(2**53 + 1, 2**53), run(2**62, 2**62)] == [1, 1, 0]
+
+
+def test_nulls_in_other_columns_are_another_row(spark):
+    assert cases(spark, [("a", 1, None, 5, "")], [("a", 1, 5.0, None, "")]) == {("a", 1, "differs", "x"), ("a", 1, "differs", "n")}
+    one, other = [(None, 7, 1.0, 1, "")], [("7", None, 1.0, 1, "")]
+    assert cases(spark, one, other) == {(None, 7, "only_a", ""), ("7", None, "only_b", "")}
+
+
+def test_depth_follows_rows():
+    assert [tree_depth(n, 5) for n in (0, 64, 65, 64 * 32, 64 * 33, 10**11)] == [1, 1, 1, 1, 2, 7]
+    for n in (10**6, 10**9, 10**12):
+        assert n / 32 ** tree_depth(n, 5) <= 64 < n / 32 ** (tree_depth(n, 5) - 1)
+
+
 def test_empty(spark):
     one = [("a", 1, 1.0, 1, "")]
     assert cases(spark, [], []) == set()
