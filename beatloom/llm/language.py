@@ -228,8 +228,8 @@ def language_segments(df: DataFrame, key: list[str], text: str, boxes: str, mode
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                lines, row, _ = read_pages(batch, text, boxes)
-                s = stretches(lines, row, shared.value)
+                pages = read_pages(batch, text, boxes)
+                s = stretches(pages.lines, pages.row, shared.value)
                 if not len(s.row):
                     continue
                 head = np.flatnonzero(np.r_[True, s.row[1:] != s.row[:-1]])

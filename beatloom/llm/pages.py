@@ -8,6 +8,8 @@ lines go on where the line before broke off.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 
@@ -72,8 +74,24 @@ def guessed_order(lines: list[str]) -> list[int]:
     return order
 
 
-def read_pages(batch: pa.RecordBatch, text: str, boxes: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """All lines of the batch in reading order, without page heads: lines, row of each, column of each."""
+@dataclass
+class Reading:
+    """Lines of a batch of pages in reading order, without page heads.
+
+    Of each line: its row in the batch, its column on the page, its number in the text as scanned, and the number of the
+    reading it belongs to (a page may be read in two orders). Of each row: the text.
+    """
+
+    lines: list[str]
+    row: np.ndarray
+    column: np.ndarray
+    number: np.ndarray
+    reading: np.ndarray
+    texts: list[str | None]
+
+
+def read_pages(batch: pa.RecordBatch, text: str, boxes: str, both: bool = False) -> Reading:
+    """The pages of the batch in reading order; with ``both``, pages whose order is guessed also as they were scanned."""
     texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
     pages = [t.split("\n") if t else [] for t in texts]
     n_lines = np.array([len(p) for p in pages], np.int64)
@@ -87,6 +105,7 @@ def read_pages(batch: pa.RecordBatch, text: str, boxes: str) -> tuple[list[str],
     out_lines: list[str] = []
     out_row: list[np.ndarray] = []
     out_column: list[np.ndarray] = []
+    out_number: list[np.ndarray] = []
     which = np.flatnonzero(boxed & (n_lines > 1))
     order_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     if len(which):
@@ -122,8 +141,13 @@ def read_pages(batch: pa.RecordBatch, text: str, boxes: str) -> tuple[list[str],
         else:
             order = np.array(guessed_order(lines[1:]), np.int64) + 1
             column = np.zeros(len(order), np.int64)
-        out_lines += [lines[i] for i in order]
-        out_row.append(np.full(len(order), p))
-        out_column.append(column)
-    empty = np.zeros(0, np.int64)
-    return out_lines, np.concatenate(out_row) if out_row else empty, np.concatenate(out_column) if out_column else empty
+        orders = [order]
+        if both and p not in order_of and (order[1:] < order[:-1]).any():
+            orders.append(np.sort(order))
+        for order in orders:
+            out_lines += [lines[i] for i in order]
+            out_row.append(np.full(len(order), p))
+            out_column.append(column)
+            out_number.append(order)
+    whole = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return Reading(out_lines, whole(out_row), whole(out_column), whole(out_number), np.repeat(np.arange(len(out_row)), [len(r) for r in out_row]), texts)

@@ -98,19 +98,28 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packed, kinds, "pack_id", "capacity_tokens")
 
 
-def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Each page's leaked items with the most words in a row it holds of each."""
+def _leaked(spark: SparkSession, folder: str) -> DataFrame:
     pages, items = table(spark, folder, "documents", "doc_id", "text", "line_boxes"), table(spark, folder, "eval_items", "item_id", "passage")
     return leakage.leaked_items(pages, "doc_id", "text", "line_boxes", items, "item_id", "passage")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p7_spans(spark, folder).select("doc_id", "item_id")
+    return _leaked(spark, folder).select("doc_id", "item_id")
+
+
+def p7_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Each page's leaked items with the most words in a row it holds of each."""
+    return _leaked(spark, folder).select("doc_id", "item_id", "n_words")
+
+
+def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The stretches of each page's text that hold leaked passages, merged over the items, as characters."""
+    return leakage.removal_spans(_leaked(spark, folder), "doc_id")
 
 
 def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     """Which evaluation items leaked, and onto how many pages."""
-    return p7_spans(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_pages"), F.max("n_words").alias("most_words"))
+    return _leaked(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_pages"), F.max("n_words").alias("most_words"))
 
 
 def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,6 +147,7 @@ QUERIES = {
     "p6_packing": p6_packing,
     "p6_fill": p6_fill,
     "p7_found": p7_found,
+    "p7_matches": p7_matches,
     "p7_spans": p7_spans,
     "p7_items": p7_items,
     "p8_found": p8_found,

@@ -112,5 +112,5 @@ def test_reading_order_without_lines():
 
     t = pa.list_(pa.struct([(n, pa.int32()) for n in ("x0", "y0", "x1", "y1")] + [("conf", pa.float64())]))
     b = pa.RecordBatch.from_arrays([pa.array([None, "", "one line"]), pa.array([None, [], None], t)], names=["text", "boxes"])
-    lines, row, _ = read_pages(b, "text", "boxes")
-    assert lines == ["one line"] and row.tolist() == [2]
+    pages = read_pages(b, "text", "boxes")
+    assert pages.lines == ["one line"] and pages.row.tolist() == [2] and pages.number.tolist() == [0]
