@@ -66,7 +66,7 @@ class Search:
     most: int = 48
     few: int = 4
     gather: int = 40
-    first_look: int = 8
+    first_look: int = 9
     rest: int = 12
     near: int = 1_200
     sure: int = 52
