@@ -33,7 +33,7 @@ def p1_nearest_every_run(spark: SparkSession, folder: str) -> DataFrame:
     left = table(spark, folder, "det_beats", *ENTITY, *RUN, "test_idx", "t", "lag_s").where("test_idx is not null")
     right = table(spark, folder, "ref_beats", *ENTITY, "ref_idx", "t").where("ref_idx is not null")
     stated = F.when(~F.isnan("lag_s"), F.col("lag_s"))
-    delays = nearest.run_delays(left.where(stated.isNull()), right, ENTITY, RUN, "test_idx", "ref_idx", "t", "t", TOLERANCE_S)
+    delays = nearest.run_delays(left.where(stated.isNull()), right, ENTITY, RUN, "test_idx", "ref_idx", "t", "t")
     placed = left.join(delays, [*ENTITY, *RUN], "left").withColumn("at", F.col("t") - F.coalesce(stated, "delay", F.lit(0.0)))
     near = nearest.nearest_pairs(placed, right, ENTITY, [*RUN, "test_idx"], "ref_idx", "at", "t", TOLERANCE_S)
     return near.withColumn("distance", F.round("distance", 6))

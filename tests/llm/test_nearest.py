@@ -2,6 +2,8 @@ import itertools
 import math
 import random
 
+import pytest
+
 from beatloom.llm import nearest
 
 L = "e string, run string, lid long, t double, lag double, rt double, note string"
@@ -65,3 +67,53 @@ def test_nearest_pairs(spark):
     right = spark.createDataFrame([("e", 9, 1.1, None, ""), ("e", 8, 0.9, None, ""), ("e", 7, 3.2, None, ""), ("f", 6, 3.0, None, "")], R)
     got = [tuple(r) for r in nearest.nearest_pairs(left, right, ["e"], ["run", "lid"], "rid", "t", "t", 0.15).collect()]
     assert got == [("e", "d", 1, 8, 0.1)]
+
+
+def test_dense_run_across_blocks(spark):
+    """Beats closer than the tolerance over several blocks: one chain of overlapping pairs without a pause."""
+    rng = random.Random(5)
+    left = [("e", "d", i, round(0.09 * i + rng.uniform(0, 0.05), 3), 0.0, None, "") for i in range(330)]
+    right = [("e", i, round(0.1 * i + rng.uniform(0, 0.05), 3), None, "") for i in range(300)]
+    got = matched(spark, left, right)
+    assert len(got) == len(set(got)) and set(got) == brute(left, right, 0.15)
+
+
+def test_a_chain_of_refusals(spark):
+    """Each right record lets go of the one it holds for a nearer one, all along the chain."""
+    left = [("e", "d", i, round(0.2 * i + 0.001 * i, 4), 0.0, None, "") for i in range(12)] + [("e", "d", 99, 0.001, 0.0, None, "")]
+    right = [("e", i, round(0.2 * i + 0.11 - 0.005 * i, 4), None, "") for i in range(12)]
+    got = matched(spark, left, right)
+    assert set(got) == brute(left, right, 0.15) and len(got) == len(set(got))
+
+
+def test_hot_run_and_null_run(spark):
+    rng = random.Random(6)
+    left = [("hot", None, i, round(0.8 * i + rng.gauss(0, 0.05), 4), 0.0, None, "") for i in range(2000)]
+    left += [("hot", None, 5000 + i, round(0.8 * i + rng.gauss(0, 0.05), 4), 0.0, None, "") for i in range(0, 2000, 7)]
+    left += [(f"e{k}", "d", i, round(0.8 * i + 0.02, 4), None, None, "") for k in range(5) for i in range(40)]
+    right = [("hot", i, round(0.8 * i, 4), None, "") for i in range(2000)] + [(f"e{k}", i, round(0.8 * i, 4), None, "") for k in range(5) for i in range(40)]
+    got = matched(spark, left, right)
+    hot = {g for g in got if g[0] == "hot"}
+    assert hot == {g for g in brute([x for x in left if x[0] == "hot"], right, 0.15)}
+    assert {g for g in got if g[0] != "hot"} == {(f"e{k}", "d", i, i) for k in range(5) for i in range(40)}
+
+
+@pytest.mark.parametrize("tick", [0.002, 0.15, 0.3, 7.0])
+def test_nearest_is_the_same_for_every_tick(spark, tick):
+    rng = random.Random(7)
+    left = [("e", "d", i, round(rng.uniform(-5, 5), 4), 0.0, None, "") for i in range(300)] + [("e", "d", 900, 1e13, 0.0, None, ""), ("e", "d", 901, -0.3, 0.0, None, ""), ("e", "d", 902, 8.9e12, 0.0, None, "")]
+    right = [("e", i, round(rng.uniform(-5, 5), 3), None, "") for i in range(60)] + [("e", 70, 1.0, None, ""), ("e", 69, 1.0, None, ""), ("e", 71, 1e13, None, ""), ("e", 72, 8.9e12, None, "")]
+    got = {r["lid"]: (r["rid"], r["distance"]) for r in nearest.nearest_pairs(spark.createDataFrame(left, L), spark.createDataFrame(right, R), ["e"], ["run", "lid"], "rid", "t", "t", 0.15, tick).collect()}
+    want = {}
+    for _, _, i, t, *_ in left:
+        d, r = min((abs(round(t * 1e6) - round(u * 1e6)), r) for _, r, u, *_ in right if abs(u) < 9e12)
+        if d <= 150_000 and abs(t) < 9e12:
+            want[i] = (r, d / 1e6)
+    assert got == want and got[902] == (72, 0.0)
+
+
+def test_only_the_nearest_of_a_tick_is_kept(spark):
+    """Of right records from before and after a tick one each is kept, and of those inside one for each time."""
+    rows = [("e", i, t) for i, t in enumerate([10, 20, 30, 110, 110, 150, 210, 220, 290])]
+    ticks = nearest.nearest_ticks(spark.createDataFrame(rows, "e string, __rid long, __r long"), ["e"], 100, 100).collect()
+    assert sorted((r["__rid"], r["__r"]) for r in ticks if r[nearest.TICK] == 1) == [(2, 30), (3, 110), (5, 150), (6, 210)]
