@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -47,15 +48,15 @@ def fir_taps(q: int) -> list[float]:
 
 
 def decimate(df: DataFrame, keys: list[str], q: int) -> DataFrame:
-    """Every ``q``-th sample of the zero-phase FIR-filtered signal (zeros beyond its ends): ``keys``, ``i``, ``x``.
+    """Every ``q``-th sample of the zero-phase FIR-filtered signal: ``keys``, ``i``, ``x``.
 
-    Each sample adds to the 21 outputs its tap reaches; sums are combined in the map tasks.
+    The mean is taken off first: beyond its ends the signal counts as 0, which next to a level would be a step. Each sample adds to the 21 outputs its tap reaches; sums are combined in the map tasks.
     """
     half = 10 * q
     taps = F.array(*map(F.lit, fir_taps(q)))
     last = F.floor((F.max("i").over(Window.partitionBy(*keys))) / q)
     lo, hi = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("i") - half) / q)), F.least(last, F.floor((F.col("i") + half) / q))
-    reach = df.select(*keys, "i", "x", lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).where(F.col("lo") <= F.col("hi"))
+    reach = remove_mean(df, keys).select(*keys, "i", "x", lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).where(F.col("lo") <= F.col("hi"))
     spread = reach.withColumn("j", F.explode(F.sequence("lo", "hi")))
     tap = F.element_at(taps, (F.abs(F.col("i") - F.col("j") * q) + 1).cast("int"))
     return spread.groupBy(*keys, F.col("j").alias("i")).agg(F.sum(F.col("x") * tap).alias("x"))
@@ -72,19 +73,42 @@ def kaiser_taps(up: int, down: int) -> list[float]:
 
 
 def resample(df: DataFrame, keys: list[str], up: int, down: int) -> DataFrame:
-    """Polyphase resampling by ``up`` / ``down``: ``keys``, ``i`` (of the new rate), ``x``."""
+    """Polyphase resampling of the centred signal by ``up`` / ``down``: ``keys``, ``i`` (of the new rate), ``x``."""
     g = math.gcd(up, down)
     up, down = up // g, down // g
     half = 10 * max(up, down)
     taps = F.array(*map(F.lit, kaiser_taps(up, down)))
     last = F.ceil((F.max("i").over(Window.partitionBy(*keys)) + 1) * up / down) - 1
     lo, hi = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("i") * up - half) / down)), F.least(last, F.floor((F.col("i") * up + half) / down))
-    reach = df.select(*keys, "i", "x", lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).where(F.col("lo") <= F.col("hi"))
+    reach = remove_mean(df, keys).select(*keys, "i", "x", lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).where(F.col("lo") <= F.col("hi"))
     spread = reach.withColumn("j", F.explode(F.sequence("lo", "hi")))
     tap = F.element_at(taps, (F.abs(F.col("j") * down - F.col("i") * up) + 1).cast("int"))
     return spread.groupBy(*keys, F.col("j").alias("i")).agg(F.sum(F.col("x") * tap).alias("x"))
 
 
+def to_rate(df: DataFrame, keys: list[str], rate: float, rates: list[float]) -> DataFrame:
+    """Each series, of one of ``rates`` samples a second, at ``rate``: ``keys``, ``fs``, ``i``, ``x`` (centred).
+
+    By a whole factor of 2 or more it is decimated, by another one resampled as the nearest fraction with a denominator
+    of at most 1000. ``rates`` are what ``df`` holds, a handful of recorders' rates; series of other rates are left out.
+    """
+    out = None
+    for fs in rates:
+        own = df.where(F.col("fs") == fs)
+        factor = fs / rate
+        if abs(factor - 1) < 1e-8:
+            one = remove_mean(own, keys).select(*keys, "i", "x")
+        elif round(factor) >= 2 and abs(factor - round(factor)) < 1e-8:
+            one = decimate(own, keys, round(factor))
+        else:
+            share = Fraction(rate / fs).limit_denominator(1000)
+            one = resample(own, keys, share.numerator, share.denominator)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = df.limit(0).select(*keys, "i", "x")
+    return out.select(*keys, F.lit(float(rate)).alias("fs"), "i", "x")
+
+
 def per_series(df: DataFrame, keys: list[str], order: str, values: list[str], work: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], out: list[tuple[str, T.DataType]]) -> DataFrame:
     """``work`` on each series in order, several to an Arrow block; it returns columns of any one length.
 
@@ -157,8 +181,10 @@ def band_pass(df: DataFrame, keys: list[str], order: int = 4, low: float | None
     return per_series(df, keys, "i", ["fs", "x"], work, [("i", T.LongType()), ("fs", T.DoubleType()), ("x", T.DoubleType())])
 
 
-def prepare(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Centred, detrended, band-passed and normalised."""
+def prepare(df: DataFrame, keys: list[str], rate: float | None = None, rates: list[float] | None = None) -> DataFrame:
+    """Centred, brought to ``rate`` where one is given (see to_rate), detrended, band-passed and normalised."""
+    if rate is not None:
+        df = to_rate(df, keys, rate, rates or [])
     return normalise(band_pass(detrend(df, keys), keys), keys)
 
 

@@ -14,35 +14,68 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatloom.operators.conditioning import clip_square, per_series
+from beatloom.operators.conditioning import clip_square, per_series, zero_phase
 
 # Fixed values of the published detectors (seconds unless noted).
 PEAK_S, BEAT_S, OFFSET, REFRACTORY_S = 0.111, 0.667, 0.02, 0.30
+SLOPE_S, LEARN_S = 0.128, 10.0
 WINDOW_S, OVERLAP_S, SHORTEST_TAIL_S, APART_S = 6.0, 1.0, 2.0, 0.25
 
 
-def terma(signal: DataFrame, keys: list[str]) -> DataFrame:
-    """Two moving averages of the squared signal; each block where the short one is over the long one holds a peak."""
-    order = Window.partitionBy(*keys).orderBy("i")
-    whole = Window.partitionBy(*keys)
-    rate = F.col("fs")
-
-    def average(seconds: float, rates: list[float]) -> Column:
-        """Centred mean with zeros beyond the ends; a frame's width is fixed, so one branch for each sampling rate."""
-        found = F.lit(None).cast("double")
-        for fs in rates:
-            w = max(1, round(seconds * fs))
-            found = F.when(rate == fs, F.sum("sq").over(order.rowsBetween(-(w // 2), (w - 1) // 2)) / w).otherwise(found)
-        return found
-
-    rates = [25.0, 30.0, 50.0, 100.0, 125.0, 250.0, 500.0]
-    sq = clip_square(signal).withColumn("many", F.count("*").over(whole)).where(F.col("many") >= 2 * rate)
-    ma = sq.withColumn("short", average(PEAK_S, rates)).withColumn("long", average(BEAT_S, rates)).withColumn("level", F.avg("sq").over(whole))
-    on = ma.withColumn("on", F.col("short") > F.col("long") + OFFSET * F.col("level"))
+def _frame_sum(keys: list[str], value: Column, before: Column) -> Column:
+    """Sum of ``value`` over a sample and the ``before`` ones ahead of it (behind it if ``before`` is negative).
+
+    The number may differ from row to row with the sampling rate, so samples are placed at multiples of a step that puts
+    just that many of them into a frame of fixed width.
+    """
+    place = F.round(F.col("i") * 1_000_000 / (F.abs(before) + 0.5)).cast("long")
+    w = Window.partitionBy(*keys).orderBy(place)
+    return F.sum(value).over(w.rangeBetween(-1_000_000, 0))
+
+
+def centred_mean(keys: list[str], value: str, seconds: float) -> Column:
+    """Moving average over ``seconds`` at any rate, zeros beyond the ends; an even width has one sample more behind it."""
+    w = F.greatest(F.lit(1), F.bround(F.col("fs") * seconds).cast("int"))
+    behind, ahead = F.floor(w / 2), F.floor((w - 1) / 2)
+    place = F.round(F.col("i") * 1_000_000 / (ahead + 0.5)).cast("long")
+    after = F.sum(value).over(Window.partitionBy(*keys).orderBy(place).rangeBetween(0, 1_000_000))
+    return (_frame_sum(keys, F.col(value), behind) + after - F.col(value)) / w
+
+
+def slope_sums(signal: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``z``, the rises of the last 0.128 s summed, and ``seed``, the threshold that onsets start from.
+
+    The seed is three times the mean of the first 10 s, or of what there is; a fifth of the greatest where that is 0.
+    """
+    order, whole = Window.partitionBy(*keys).orderBy("i"), Window.partitionBy(*keys)
+    up = F.coalesce(F.greatest(F.col("x") - F.lag("x").over(order), F.lit(0.0)), F.lit(0.0))
+    w = F.greatest(F.lit(1), F.bround(F.col("fs") * SLOPE_S).cast("int"))
+    rises = signal.withColumn("up", up).withColumn("z", _frame_sum(keys, F.col("up"), w - 1))
+    head = F.avg(F.when(F.col("i") < F.bround(F.col("fs") * LEARN_S), F.col("z"))).over(whole)
+    return rises.withColumn("seed", F.when(head > 0, 3.0 * head).otherwise(0.2 * F.max("z").over(whole))).drop("up")
+
+
+def terma_blocks(signal: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks in which the short moving average of the squared signal is over the long one: ``keys``, ``fs``, ``wide``, ``idx``, ``x``.
+
+    ``idx`` is the first greatest sample of a block; blocks narrower than a peak, and series under 2 s, have none.
+    """
+    order, whole = Window.partitionBy(*keys).orderBy("i"), Window.partitionBy(*keys)
+    sq = clip_square(signal).withColumn("many", F.count("*").over(whole)).where(F.col("many") >= F.floor(2 * F.col("fs")))
+    ma = sq.withColumn("short", centred_mean(keys, "sq", PEAK_S)).withColumn("long", centred_mean(keys, "sq", BEAT_S)).withColumn("level", F.avg("sq").over(whole))
+    on = ma.withColumn("on", F.round(F.col("short") - F.col("long") - OFFSET * F.col("level"), 9) > 0)
     edge = on.withColumn("edge", (F.col("on") != F.coalesce(F.lag("on").over(order), F.lit(False))).cast("int"))
     island = edge.withColumn("island", F.sum("edge").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("on")
-    tops = island.groupBy(*keys, "fs", "island").agg(F.count("*").alias("wide"), F.max(F.struct("x", (-F.col("i")).alias("n"))).alias("m")).where(F.col("wide") >= F.bround(F.col("fs") * PEAK_S))
-    peaks = tops.select(*keys, "fs", F.struct((-F.col("m.n")).alias("idx"), F.col("m.x").alias("x")).alias("p"))
+    tops = island.groupBy(*keys, "fs", "island").agg(F.count("*").alias("wide"), F.max(F.struct("x", (-F.col("i")).alias("n"))).alias("m"))
+    return tops.where(F.col("wide") >= F.bround(F.col("fs") * PEAK_S)).select(*keys, "fs", "wide", (-F.col("m.n")).alias("idx"), F.col("m.x").alias("x"))
+
+
+def terma(signal: DataFrame, keys: list[str]) -> DataFrame:
+    """Two moving averages of the squared signal; each block where the short one is over the long one holds a peak.
+
+    Of peaks closer than the refractory time to the one kept before, the taller one stays.
+    """
+    peaks = terma_blocks(signal, keys).select(*keys, "fs", F.struct("idx", "x").alias("p"))
     lists = peaks.groupBy(*keys, "fs").agg(F.array_sort(F.collect_list("p")).alias("ps"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -97,38 +130,59 @@ def slope_sum(x: np.ndarray, fs: float) -> np.ndarray:
     """Rises of the last 0.128 s summed."""
     up = np.r_[0.0, np.maximum(np.diff(x), 0.0)]
     total = np.cumsum(up)
-    w = max(1, round(0.128 * fs))
+    w = max(1, round(SLOPE_S * fs))
     return total - np.r_[np.zeros(w), total[:-w]][: len(total)]
 
 
+def _foot(z: np.ndarray, top: int, back: int) -> int:
+    """The last place before ``top``, at most ``back`` samples, where the slope sum is a hundredth of its greatest there."""
+    start = max(0, top - back)
+    low = np.flatnonzero(z[start : top + 1] <= 0.01 * z[start : top + 1].max())
+    return start + int(low[-1]) if len(low) else start
+
+
 def qppg(x: np.ndarray, fs: float) -> np.ndarray:
-    """Onsets where the slope sum crosses an adaptive threshold; a missed beat is searched again at half of it."""
-    z = slope_sum(x, fs)
-    n, eye, back, ahead = len(z), round(0.30 * fs), round(0.30 * fs), round(0.15 * fs)
-    head = z[: round(10 * fs)]
-    level = 3 * head.mean() if len(head) >= round(10 * fs) else 0.2 * z.max(initial=0.0)
+    """Onsets where the slope sum crosses an adaptive threshold upwards.
+
+    The onset is the foot of the rise that peaks within 0.15 s of the crossing. Where the pause between two onsets is
+    over 1.5 times the median of the last eight intervals, the greatest slope sum inside it gives one more onset if it
+    exceeds half the threshold.
+    """
+    if len(x) < int(2 * fs):
+        return np.zeros(0, np.int64)
+    z = slope_sum(zero_phase(x, fs, 2, None, 16.0) if 16.0 < 0.95 * fs / 2 else x, fs)
+    n, eye, ahead = len(z), round(0.30 * fs), round(0.15 * fs)
+    head = z[: round(LEARN_S * fs)].mean()
+    level = 3 * head if head > 0 else 0.2 * z.max()
     if level <= 0:
         return np.zeros(0, np.int64)
     onsets: list[int] = []
+    pauses: list[int] = []
+    rising = np.flatnonzero(z[1:] > z[:-1]) + 1
     i = 1
-    while i < n:
-        limit = level
-        if len(onsets) >= 4:
-            usual = np.median(np.diff(onsets[-9:]))
-            if i - onsets[-1] > 1.5 * usual:
-                limit = 0.5 * level
-        if not (z[i] >= limit > z[i - 1]):
+    while True:
+        k = np.searchsorted(rising, i)
+        crossing = rising[k:][(z[rising[k:]] > level) & (z[rising[k:] - 1] <= level)][:1]
+        if not len(crossing):
+            break
+        i = int(crossing[0])
+        top = i + int(np.argmax(z[i : i + ahead]))
+        onset = _foot(z, top, eye)
+        if onsets and (onset <= onsets[-1] or i - onsets[-1] < eye):
             i += 1
             continue
-        start = max(0, i - back, onsets[-1] + 1 if onsets else 0)
-        part = z[start : i + 1]
-        low = np.flatnonzero(part <= 0.01 * part.max())
-        onset = start + int(low[-1]) if len(low) else start
-        if not onsets or onset > onsets[-1]:
-            onsets.append(onset)
-        level = 0.8 * level + 0.2 * 0.6 * z[i : i + ahead + 1].max()
+        before = onsets[-1] if onsets else None
+        onsets.append(onset)
+        level = 0.8 * level + 0.2 * 0.6 * z[top]
+        if before is not None:
+            pauses.append(onset - before)
+            a, b = before + eye, onset - eye
+            if len(pauses) >= 3 and onset - before > 1.5 * np.median(pauses[-8:]) and b > a and z[a:b].max() > 0.5 * level:
+                found = _foot(z, a + int(np.argmax(z[a:b])), eye)
+                if before < found < onset:
+                    onsets.insert(-1, found)
         i = max(i + 1, onset + eye)
-    return np.array(onsets, np.int64)
+    return np.unique(np.array(onsets, np.int64)) if onsets else np.zeros(0, np.int64)
 
 
 def msptd_window(x: np.ndarray, scales: int | None = None) -> np.ndarray:

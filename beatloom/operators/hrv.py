@@ -54,18 +54,21 @@ def poincare(df: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "n_intervals", F.when(enough, sd1).alias("sd1"), F.when(enough, sd2).alias("sd2"), F.when(enough, ratio(sd1, sd2)).alias("sd1_sd2"))
 
 
-def sample_entropy(df: DataFrame, keys: list[str], m: int = 2, share: float = 0.2) -> DataFrame:
-    """-ln(A / B): pairs of stretches of ``m`` + 1 and of ``m`` intervals that agree within ``share`` x the SD.
+def sample_entropy(df: DataFrame, keys: list[str], share: float = 0.2, least: int = 10) -> DataFrame:
+    """-ln(A / B): pairs of stretches of 3 and of 2 intervals that agree within ``share`` x the SD; ``keys``, ``n_intervals``, ``sampen``.
 
-    ``m`` is 2. Pairs are formed within a group only, by a join that carries two neighbours along.
+    Null from fewer than ``least`` intervals, without spread, and where A or B is 0. Pairs are joined by the cell, as
+    wide as the tolerance, of their first interval: partners lie in the same cell or the next one.
     """
     w = Window.partitionBy(*keys).orderBy("n")
     whole = Window.partitionBy(*keys)
-    rows = df.select(*keys, "n", F.col("ibi_s").alias("x0"), F.lead("ibi_s", 1).over(w).alias("x1"), F.lead("ibi_s", 2).over(w).alias("x2"), (F.stddev_samp("ibi_s").over(whole) * share).alias("r"), F.count("*").over(whole).alias("n_intervals"))
-    starts = rows.where(F.col("x1").isNotNull() & (F.col("n_intervals") >= m + 2))
-    a = starts.select(*keys, F.col("n").alias("i"), "x0", "x1", "x2", "r", "n_intervals")
-    b = starts.select(*keys, F.col("n").alias("j"), F.col("x0").alias("y0"), F.col("x1").alias("y1"), F.col("x2").alias("y2"))
-    near = a.join(b, keys).where((F.col("i") < F.col("j")) & (F.abs(F.col("x0") - F.col("y0")) <= F.col("r")) & (F.abs(F.col("x1") - F.col("y1")) <= F.col("r")))
+    rows = df.select(*keys, "n", _ms().alias("x0"), F.lead(_ms(), 1).over(w).alias("x1"), F.lead(_ms(), 2).over(w).alias("x2"), (F.stddev_samp(_ms()).over(whole) * share).alias("r"), F.count("*").over(whole).alias("n_intervals"))
+    cell = F.floor(F.col("x0") / (F.col("r") * (1 + 1e-9)))
+    starts = rows.where(F.col("x1").isNotNull() & (F.col("n_intervals") >= least) & (F.col("r") > 0)).withColumn("cell", cell)
+    a = starts.select(*keys, "cell", F.col("n").alias("i"), "x0", "x1", "x2", "r")
+    # Each start is met in its own cell, and from the cells below and above.
+    b = starts.select(*keys, F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), F.col("n").alias("j"), F.col("x0").alias("y0"), F.col("x1").alias("y1"), F.col("x2").alias("y2"))
+    near = a.join(b, [*keys, "cell"]).where((F.col("i") < F.col("j")) & (F.abs(F.col("x0") - F.col("y0")) <= F.col("r")) & (F.abs(F.col("x1") - F.col("y1")) <= F.col("r")))
     longer = F.abs(F.col("x2") - F.col("y2")) <= F.col("r")
     counts = near.groupBy(*keys).agg(F.count("*").alias("b"), F.sum(F.coalesce(longer, F.lit(False)).cast("long")).alias("a"))
     groups = df.groupBy(*keys).agg(F.count("*").alias("n_intervals"))

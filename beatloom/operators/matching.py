@@ -51,7 +51,8 @@ def grid_delay(ref: DataFrame, test: DataFrame, entity: list[str], run: list[str
     """Delay of each run: the grid value (-0.10 to under 0.60 s by 5 ms) that puts a detection within ``near`` of most references.
 
     Ties go to the smaller delay. The value is refined by the median of the nearest detections' remaining distance,
-    where at least three are near. Runs of fewer than 3 beats, or without any pair, have delay 0.
+    where at least three are near. Runs of fewer than 3 beats, with fewer than 3 references, or without any pair, have
+    delay 0.
     """
     key = [*entity, *run]
     pairs = band_join(ref, test, entity, -0.10 - near, 0.60 + near).withColumn("__d", F.col("tt") - F.col("rt"))
@@ -69,8 +70,9 @@ def grid_delay(ref: DataFrame, test: DataFrame, entity: list[str], run: list[str
     nearest = rest.groupBy(*key, "__coarse", "ref_idx").agg(F.min(F.struct(F.abs("__r").alias("a"), "__r")).alias("__m"))
     fine = nearest.where(F.col("__m.a") <= near).groupBy(*key, "__coarse").agg(F.count("*").alias("__n"), F.median("__m.__r").alias("__shift"))
     known = fine.select(*key, (F.col("__coarse") + F.when(F.col("__n") >= 3, F.col("__shift")).otherwise(0.0)).alias("delay"))
-    sizes = test.groupBy(*key).agg(F.count("*").alias("n_test"))
-    return sizes.join(known, key, "left").select(*key, F.when(F.col("n_test") >= 3, F.coalesce("delay", F.lit(0.0))).otherwise(0.0).alias("delay"))
+    sizes = test.groupBy(*key).agg(F.count("*").alias("n_test")).join(ref.groupBy(*entity).agg(F.count("*").alias("n_ref")), entity, "left")
+    enough = (F.col("n_test") >= 3) & (F.col("n_ref") >= 3)
+    return sizes.join(known, key, "left").select(*key, F.when(enough, F.coalesce("delay", F.lit(0.0))).otherwise(0.0).alias("delay"))
 
 
 def with_delay(ref: DataFrame, test: DataFrame, entity: list[str], run: list[str], delay: str) -> DataFrame:
@@ -83,25 +85,30 @@ def with_delay(ref: DataFrame, test: DataFrame, entity: list[str], run: list[str
 
 
 def one_to_one(pairs: DataFrame, run: list[str]) -> DataFrame:
-    """Of a run's pairs (``__d``, ``ref_idx``, ``test_idx``) the closest first, each beat once: a fold over the sorted pairs.
+    """Of a run's pairs (``__d``, ``ref_idx``, ``test_idx``, ``__lo`` and ``__hi``, its earlier and later time) the closest first, each beat once.
 
-    A run is one detector on one session; its pairs within the tolerance are about as many as its beats.
+    Pairs that share a beat overlap in time, so a run's pairs, by time, fall into islands of overlapping pairs, and the
+    choice is made in each on its own; nearly all islands are one pair.
     """
-    lists = pairs.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("__d", "ref_idx", "test_idx"))).alias("__p"))
+    order = Window.partitionBy(*run).orderBy("__lo")
+    reach = F.max("__hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = pairs.withColumn("__new", (reach.isNull() | (F.col("__lo") > reach)).cast("int"))
+    islands = opened.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lists = islands.groupBy(*run, "__island").agg(F.collect_list(F.struct("__d", "ref_idx", "test_idx")).alias("__p"))
 
-    def step(acc: Column, p: Column) -> Column:
-        free = ~F.array_contains(acc["r"], p["ref_idx"]) & ~F.array_contains(acc["t"], p["test_idx"])
-        return F.when(free, F.struct(F.array_append(acc["r"], p["ref_idx"]).alias("r"), F.array_append(acc["t"], p["test_idx"]).alias("t"), F.array_append(acc["d"], p["__d"]).alias("d"))).otherwise(acc)
+    def step(taken: Column, p: Column) -> Column:
+        free = ~F.exists(taken, lambda q: (q["ref_idx"] == p["ref_idx"]) | (q["test_idx"] == p["test_idx"]))
+        return F.when(free, F.concat(taken, F.array(p))).otherwise(taken)
 
-    none = F.struct(F.array().cast("array<bigint>").alias("r"), F.array().cast("array<bigint>").alias("t"), F.array().cast("array<double>").alias("d"))
-    done = lists.withColumn("__m", F.aggregate("__p", none, step))
-    return done.select(*run, F.explode(F.arrays_zip("__m.r", "__m.t", "__m.d")).alias("__z")).select(*run, F.col("__z.r").alias("ref_idx"), F.col("__z.t").alias("test_idx"), F.col("__z.d").alias("distance"))
+    none = F.filter("__p", lambda p: F.lit(False))
+    chosen = F.when(F.size("__p") == 1, F.col("__p")).otherwise(F.aggregate(F.array_sort("__p"), none, step))
+    return lists.select(*run, F.explode(chosen).alias("__z")).select(*run, F.col("__z.ref_idx").alias("ref_idx"), F.col("__z.test_idx").alias("test_idx"), F.col("__z.__d").alias("distance"))
 
 
 def match(ref: DataFrame, test: DataFrame, entity: list[str], run: list[str], tolerance: float) -> DataFrame:
     """Matches of ``test`` (``tt`` with the delay taken off) with ``ref``."""
     near = band_join(ref, test, entity, -tolerance, tolerance)
-    pairs = near.select(*entity, *run, F.round(F.abs(F.col("tt") - F.col("rt")), 9).alias("__d"), "ref_idx", "test_idx")
+    pairs = near.select(*entity, *run, F.round(F.abs(F.col("tt") - F.col("rt")), 9).alias("__d"), "ref_idx", "test_idx", F.least("tt", "rt").alias("__lo"), F.greatest("tt", "rt").alias("__hi"))
     return one_to_one(pairs, [*entity, *run])
 
 

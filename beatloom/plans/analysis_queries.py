@@ -200,14 +200,15 @@ def a10_agreement(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a11_verify(spark: SparkSession, folder: str) -> DataFrame:
-    """Column by column comparison of the two copies: missing on one side, greatest difference, rows beyond 1e-6."""
+    """Column by column comparison of the two copies: rows of one side only, missing on one side, greatest difference, rows beyond 1e-6."""
     key = ["record", "session_id", "coverage_target"]
     names = ["floor_rmse", "floor_mae", "n_intervals", "n_detectors"]
-    a, b = (_floors(spark, folder, s).groupBy(*key).agg(*[F.max(n).alias(f"{n}_{s}") for n in names]) for s in "ab")
-    both = a.alias("a").join(b.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key])
-    rows = both.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"{n}_a").alias("va"), F.col(f"{n}_b").alias("vb")) for n in names])).alias("e")).select("e.*")
-    d = F.abs(F.col("va") - F.col("vb"))
-    return _rounded(rows.groupBy("column").agg(F.count("*").alias("n_rows"), F.sum((F.col("va").isNull() != F.col("vb").isNull()).cast("long")).alias("n_missing"), F.max(d).alias("greatest"), F.sum(F.coalesce(d > 1e-6, F.lit(False)).cast("long")).alias("n_beyond")))
+    a, b = (_floors(spark, folder, s).groupBy(*key).agg(*[F.max(n).alias(f"{n}_{s}") for n in names], F.lit(1).alias(f"in_{s}")) for s in "ab")
+    both = a.alias("a").join(b.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key], "full_outer")
+    rows = both.select("in_a", "in_b", F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"{n}_a").alias("va"), F.col(f"{n}_b").alias("vb")) for n in names])).alias("e")).select("in_a", "in_b", "e.*")
+    d, shared = F.abs(F.col("va") - F.col("vb")), F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+    many = lambda c, name: F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(name)
+    return _rounded(rows.groupBy("column").agg(many(F.col("in_a").isNotNull(), "n_a"), many(F.col("in_b").isNotNull(), "n_b"), many(F.col("in_b").isNull(), "n_only_a"), many(F.col("in_a").isNull(), "n_only_b"), many(shared & (F.col("va").isNull() != F.col("vb").isNull()), "n_missing"), F.max(d).alias("greatest"), many(d > 1e-6, "n_beyond")))
 
 
 def o3_best_run(spark: SparkSession, folder: str) -> DataFrame:
@@ -283,7 +284,7 @@ def _f(side: str) -> str:
 
 _MO = "WITH m AS (SELECT record, split_part(record, '_', -1) AS activity, session_id, seg, " + ", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}" for c in ("gyro_rms_median", "gyro_rms_p90", "f1", "ibi_rmse", "rmssd_abserr", "sdnn_abserr")) + " FROM (SELECT DISTINCT record, session_id, seg, gyro_rms_median, gyro_rms_p90, f1, ibi_rmse, rmssd_abserr, sdnn_abserr FROM e4_motion))"
 _UN = " UNION ALL ".join(f"SELECT '{n}' AS metric, median({n}) AS v FROM m GROUP BY record" for n in ("ibi_rmse", "rmssd_abserr", "sdnn_abserr"))
-_VF = " UNION ALL ".join(f"SELECT '{n}' AS \"column\", a.{n} AS va, b.{n} AS vb FROM ka a JOIN kb b ON a.record IS NOT DISTINCT FROM b.record AND a.session_id IS NOT DISTINCT FROM b.session_id AND a.coverage_target IS NOT DISTINCT FROM b.coverage_target" for n in ("floor_rmse", "floor_mae", "n_intervals", "n_detectors"))
+_VF = " UNION ALL ".join(f"SELECT '{n}' AS \"column\", a.one AS in_a, b.one AS in_b, a.{n} AS va, b.{n} AS vb FROM ka a FULL JOIN kb b ON a.record IS NOT DISTINCT FROM b.record AND a.session_id IS NOT DISTINCT FROM b.session_id AND a.coverage_target IS NOT DISTINCT FROM b.coverage_target" for n in ("floor_rmse", "floor_mae", "n_intervals", "n_detectors"))
 _MAX = ", ".join(f"max({n}) AS {n}" for n in ("floor_rmse", "floor_mae", "n_intervals", "n_detectors"))
 
 ORACLES = {
@@ -302,7 +303,7 @@ ORACLES = {
     "a8_quantisation": f"WITH {_f('a')}, fl AS (SELECT median(floor_rmse) AS floor_ms FROM fa WHERE coverage_target = 1) SELECT fs, round(floor_ms, 6) AS floor_ms, round(sqrt((1000 / fs / sqrt(12) * sqrt(2)) ** 2 + floor_ms ** 2), 6) AS expected_ms FROM (SELECT DISTINCT fs FROM ppg_samples), fl",
     "a9_floor_summary": f"WITH {_f('a')}, g AS (SELECT record, median(floor_rmse) AS v FROM fa WHERE coverage_target = 1 GROUP BY ALL) SELECT record, round(v, 6) AS floor_rmse, round(v - (SELECT median(v) FROM g), 6) + 0e0 AS excess FROM g",
     "a10_agreement": f"WITH {_f('a')}, {_f('b')}, ka AS (SELECT record, session_id, coverage_target, max(floor_rmse) AS va FROM fa WHERE coverage_target IS NOT NULL GROUP BY ALL), kb AS (SELECT record, session_id, coverage_target, max(floor_rmse) AS vb FROM fb WHERE coverage_target IS NOT NULL GROUP BY ALL), g AS (SELECT coverage_target, count(*) AS n, avg(vb - va) AS m, stddev_samp(vb - va) AS s FROM ka JOIN kb USING (record, session_id, coverage_target) WHERE va IS NOT NULL AND vb IS NOT NULL GROUP BY ALL) SELECT coverage_target, n, CASE WHEN n >= 3 THEN round(m, 6) + 0e0 END AS bias, CASE WHEN n >= 3 THEN round(m - 1.96 * s, 6) + 0e0 END AS lower, CASE WHEN n >= 3 THEN round(m + 1.96 * s, 6) + 0e0 END AS upper FROM g",
-    "a11_verify": f"WITH {_f('a')}, {_f('b')}, ka AS (SELECT record, session_id, coverage_target, {_MAX} FROM fa GROUP BY ALL), kb AS (SELECT record, session_id, coverage_target, {_MAX} FROM fb GROUP BY ALL), u AS ({_VF}) SELECT \"column\", count(*) AS n_rows, count(*) FILTER ((va IS NULL) <> (vb IS NULL)) AS n_missing, round(max(abs(va - vb)), 6) AS greatest, count(*) FILTER (abs(va - vb) > 1e-6) AS n_beyond FROM u GROUP BY ALL",
+    "a11_verify": f"WITH {_f('a')}, {_f('b')}, ka AS (SELECT record, session_id, coverage_target, 1 AS one, {_MAX} FROM fa GROUP BY ALL), kb AS (SELECT record, session_id, coverage_target, 1 AS one, {_MAX} FROM fb GROUP BY ALL), u AS ({_VF}) SELECT \"column\", count(in_a) AS n_a, count(in_b) AS n_b, count(*) FILTER (in_b IS NULL) AS n_only_a, count(*) FILTER (in_a IS NULL) AS n_only_b, count(*) FILTER (in_a = 1 AND in_b = 1 AND (va IS NULL) <> (vb IS NULL)) AS n_missing, round(max(abs(va - vb)), 6) AS greatest, count(*) FILTER (abs(va - vb) > 1e-6) AS n_beyond FROM u GROUP BY ALL",
     "o3_best_run": _C + " SELECT record, run_id, cost FROM c QUALIFY row_number() OVER (PARTITION BY record ORDER BY cost, run_id) = 1",
     "o4_top_records": f"WITH {SQL['tach']} SELECT record, count(*) AS n FROM tach GROUP BY ALL ORDER BY n DESC, record LIMIT 10",
     "o7_set_operations": f"WITH {SQL['tach']}, {SQL['ref']}, t AS (SELECT DISTINCT record, session_id FROM tach), r AS (SELECT DISTINCT record, session_id FROM ref) SELECT *, 'both' AS \"where\" FROM (SELECT * FROM t INTERSECT SELECT * FROM r) UNION ALL SELECT *, 'intervals' FROM (SELECT * FROM t EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'reference' FROM (SELECT * FROM r EXCEPT SELECT * FROM t)",

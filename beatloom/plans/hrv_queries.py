@@ -43,8 +43,8 @@ _TD_OUT = "CASE WHEN n_intervals >= 3 THEN round(m, 6) END AS mean_nn, CASE WHEN
 _PC = "pc AS (SELECT record, session_id, detector, n_intervals, CASE WHEN n_intervals >= 10 THEN sqrt(0.5) * sd END AS sd1, CASE WHEN n_intervals >= 10 AND 2 * s * s - 0.5 * sd * sd > 0 THEN sqrt(2 * s * s - 0.5 * sd * sd) END AS sd2 FROM td)"
 _SE = """se AS (SELECT g.record, g.session_id, g.detector, g.n_intervals, CASE WHEN a > 0 AND b > 0 THEN -ln(a / b) END AS sampen FROM (SELECT record, session_id, detector, count(*) AS n_intervals FROM scr GROUP BY ALL) g LEFT JOIN (
     SELECT record, session_id, detector, CAST(count(*) AS DOUBLE) AS b, CAST(count(*) FILTER (abs(x2 - y2) <= r) AS DOUBLE) AS a FROM (
-        SELECT p.record, p.session_id, p.detector, p.x2, q.x2 AS y2, p.r FROM e p JOIN e q ON p.record = q.record AND p.session_id = q.session_id AND p.detector = q.detector AND p.n < q.n AND abs(p.x0 - q.x0) <= p.r AND abs(p.x1 - q.x1) <= p.r WHERE p.many >= 4) GROUP BY ALL) c USING (record, session_id, detector))"""
-_E = """e AS (SELECT * FROM (SELECT record, session_id, detector, n, ibi_s AS x0, lead(ibi_s, 1) OVER w AS x1, lead(ibi_s, 2) OVER w AS x2, 0.2 * stddev_samp(ibi_s) OVER (PARTITION BY record, session_id, detector) AS r, count(*) OVER (PARTITION BY record, session_id, detector) AS many FROM scr WINDOW w AS (PARTITION BY record, session_id, detector ORDER BY n)) WHERE x1 IS NOT NULL)"""
+        SELECT p.record, p.session_id, p.detector, p.x2, q.x2 AS y2, p.r FROM e p JOIN e q ON p.record = q.record AND p.session_id = q.session_id AND p.detector = q.detector AND p.n < q.n AND abs(p.x0 - q.x0) <= p.r AND abs(p.x1 - q.x1) <= p.r WHERE p.many >= 10 AND p.r > 0) GROUP BY ALL) c USING (record, session_id, detector))"""
+_E = """e AS (SELECT * FROM (SELECT record, session_id, detector, n, ibi_s * 1000 AS x0, lead(ibi_s * 1000, 1) OVER w AS x1, lead(ibi_s * 1000, 2) OVER w AS x2, 0.2 * stddev_samp(ibi_s * 1000) OVER (PARTITION BY record, session_id, detector) AS r, count(*) OVER (PARTITION BY record, session_id, detector) AS many FROM scr WINDOW w AS (PARTITION BY record, session_id, detector ORDER BY n)) WHERE x1 IS NOT NULL)"""
 _DFA = """pr AS (SELECT record, session_id, detector, n, many, sum(c) OVER (PARTITION BY record, session_id, detector ORDER BY n) AS y FROM (SELECT *, ibi_s - avg(ibi_s) OVER (PARTITION BY record, session_id, detector) AS c, count(*) OVER (PARTITION BY record, session_id, detector) AS many FROM scr) WHERE many >= 32),
 sg AS (SELECT *, n // s AS seg, CAST(n % s AS DOUBLE) AS p FROM pr, (SELECT unnest(range(4, 17)) AS s)),
 ff AS (SELECT record, session_id, detector, s, sqrt(avg(greatest(syy - sxy * sxy / sxx, 0) / s)) AS f FROM (SELECT record, session_id, detector, s, seg, regr_syy(y, p) AS syy, regr_sxy(y, p) AS sxy, regr_sxx(y, p) AS sxx FROM sg WHERE seg < many // s GROUP BY ALL) GROUP BY ALL),
