@@ -1,9 +1,10 @@
 """Filling containers of fixed capacity with items of varying length, planned on the histogram of lengths.
 
 The plan sees counts of lengths and no items: best-fit over the counts, longest first, opens runs of equal containers
-and fills the tightest run that has room. Its size is bounded by the capacity, however many items there are. Items
-then take the planned places by their rank within their length; ranks are counted in salted groups, so a length that a
-third of all items have is spread over many tasks.
+and fills the tightest run that has room. Its size depends on the capacity and the spread of lengths, hardly on the
+number of items. Items then take the planned places by their rank within their length; ranks are counted in salted
+groups, so a length that a third of all items have is spread over many tasks. Ranks and places meet in an equi-join on
+blocks of ranks, which are as wide, for each length, as its places are on average.
 
 An item longer than the capacity is cut into full pieces, each a container of its own, and a rest that is an item like
 others; no other item is cut. Items of length 0 or null need no room and get no row. Repeated items are items of their
@@ -18,7 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from beatloom.session import written
+
 SLOTS = "length long, first long, last long, container long"
+MOST_KINDS = 1_000
 
 
 def plan_counts(capacity: int, counts: dict[int, int]) -> list[tuple[int, int, int, int]]:
@@ -72,9 +76,11 @@ def pieces(items: DataFrame, keys: list[str], length: str, capacity: str) -> Dat
 def pack(items: DataFrame, keys: list[str], length: str, kinds: DataFrame, kind: str, capacity: str, salts: int = 64) -> DataFrame:
     """Every item in a container of each kind: ``kind``, ``container``, ``keys``, ``piece``, ``start``, ``size``.
 
-    ``kinds`` has one row for each kind of container; it is small by nature (a handful of capacities), and so is the
-    plan: at most a few rows for each length up to the capacity. Both are broadcast.
+    ``kinds`` has one row for each kind of container, at most MOST_KINDS, and is broadcast; how the plan, of some rows
+    for each length up to the capacity, is joined is left to Spark.
     """
+    if kinds.count() > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     parts = pieces(items.select(*keys, length).crossJoin(F.broadcast(kinds.select(kind, capacity))), keys, length, capacity)
     salt = F.pmod(F.xxhash64(*keys, "piece"), F.lit(salts)).cast("int")
     parts = parts.select(kind, F.col(capacity).cast("long").alias("__capacity"), *keys, "piece", "start", "size", salt.alias("__salt"))
@@ -90,12 +96,17 @@ def pack(items: DataFrame, keys: list[str], length: str, kinds: DataFrame, kind:
 
     kind_type = dict(kinds.dtypes)[kind]
     histogram = counts.groupBy(kind, "__capacity", "size").agg(F.sum("__n").alias("__n"))
-    slots = histogram.groupBy(kind).applyInPandas(plan, f"{kind} {kind_type}, {SLOTS}")
+    slots = written(histogram.groupBy(kind).applyInPandas(plan, f"{kind} {kind_type}, {SLOTS}"), "places")
+    # Blocks of ranks: as many as a length has places, so items and places meet about twice as often as there are items.
+    wide = slots.groupBy(kind, F.col("length").alias("size")).agg(F.ceil((F.max("last") + 1) / F.count("*")).alias("__wide"))
     local = F.row_number().over(Window.partitionBy(kind, "size", "__salt").orderBy(*keys, "piece")) - 1
-    ranked = parts.withColumn("__local", local).join(offsets, [kind, "size", "__salt"]).withColumn("__rank", F.col("__local") + F.col("__before"))
-    s = F.broadcast(slots.withColumnRenamed(kind, "__kind"))
-    taken = ranked.join(s, (F.col(kind) == F.col("__kind")) & (F.col("size") == F.col("length")) & F.col("__rank").between(F.col("first"), F.col("last")))
-    return taken.select(kind, (F.col("container") + F.col("__rank") - F.col("first")).alias("container"), *keys, "piece", "start", "size")
+    ranked = parts.withColumn("__local", local).join(offsets.join(wide, [kind, "size"]), [kind, "size", "__salt"]).withColumn("__rank", F.col("__local") + F.col("__before"))
+    ranked = ranked.select(kind, *keys, "piece", "start", "size", "__rank", F.floor(F.col("__rank") / F.col("__wide")).alias("__block"))
+    places = slots.withColumnRenamed("length", "size").join(wide, [kind, "size"])
+    blocks = F.explode(F.sequence(F.floor(F.col("first") / F.col("__wide")), F.floor(F.col("last") / F.col("__wide"))))
+    places = places.select(kind, "size", F.col("first").alias("__first"), F.col("last").alias("__last"), F.col("container").alias("__container"), blocks.alias("__block"))
+    taken = ranked.join(places, [kind, "size", "__block"]).where(F.col("__rank").between(F.col("__first"), F.col("__last")))
+    return taken.select(kind, (F.col("__container") + F.col("__rank") - F.col("__first")).alias("container"), *keys, "piece", "start", "size")
 
 
 def fill_report(packed: DataFrame, kinds: DataFrame, kind: str, capacity: str) -> DataFrame:

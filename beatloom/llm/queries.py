@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beatloom.llm import language, leakage, nearest, packing, percentiles, tokens
-from beatloom.session import ensure_checkpoint_dir
+from beatloom.session import written
 from beatloom.sources.tables import table
 
 ENTITY, RUN = ["record", "session_id"], ["detector"]
@@ -81,8 +81,7 @@ def p2_combined(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    ensure_checkpoint_dir(spark)
-    sizes = tokens.token_counts(table(spark, folder, "documents", "doc_id", "text"), ["doc_id"], "text").checkpoint()
+    sizes = written(tokens.token_counts(table(spark, folder, "documents", "doc_id", "text"), ["doc_id"], "text"), "sizes")
     kinds = table(spark, folder, "pack_sizes", "pack_id", "capacity_tokens")
     return packing.pack(sizes, ["doc_id"], "n_tokens", kinds, "pack_id", "capacity_tokens"), kinds
 

@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from beatloom.llm import packing, tokens
 
 ITEMS = "doc long, n long, pack_id string, container long"
@@ -44,6 +46,19 @@ def test_nothing_null_and_repeated(spark):
     check(run(spark, lengths, [8]), lengths, [8])
 
 
+def test_every_item_takes_one_place_of_a_ragged_plan(spark):
+    """Long-tailed lengths, of which short ones have places of a few ranks beside places of many."""
+    rng = random.Random(8)
+    lengths = [max(1, min(700, int(rng.lognormvariate(3.5, 1.2)))) for _ in range(3000)] + [5] * 1500
+    check(run(spark, lengths, [256, 512]), lengths, [256, 512])
+
+
+def test_too_many_kinds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_KINDS", 1)
+    with pytest.raises(ValueError, match="kinds"):
+        run(spark, [1], [8, 9])
+
+
 def test_plan_is_small_and_whole():
     counts = {n: 1_000_000 + n for n in range(1, 513)}
     slots = packing.plan_counts(512, counts)
