@@ -13,15 +13,13 @@ from beatloom.operators import detectors as de
 from beatloom.operators import fiducial as fi
 from beatloom.operators import matching as ma
 from beatloom.operators import quality as qu
+from beatloom.plans.costs import COST_SQL, ORDER, costs
 from beatloom.session import ensure_checkpoint_dir
 from beatloom.sources import files
 from beatloom.sources.adapters import RUN, SESSION, SQL, intervals, reference_beats, signal
 from beatloom.sources.tables import table
 from beatloom.streaming import windows as st
 
-#: Order in which detectors are reported.
-ORDER = ["MSPTD", "MSPTDfast v2", "TERMA", "qppg (slope-sum)", "HeartPy", "find_peaks baseline", "MSPTD (NeuroKit2 reference loops)"]
-
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[six(df[c], c) if kind == "double" else c for c, kind in df.dtypes])
@@ -32,16 +30,6 @@ def _fine(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(df[c], 9).alias(c) if kind == "double" else c for c, kind in df.dtypes])
 
 
-def _costs(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs once each, label in its registered spelling, real costs of at least 0."""
-    c = table(spark, folder, "detector_cost", "run_id", "record", "detector", "detector_label", "run_day", "best_s_per_min", "median_s_per_min").distinct()
-    own = F.lower(F.trim("detector_label"))
-    label = F.lit(None).cast("string")
-    for name in ORDER:
-        label = F.when(own == name.lower(), F.lit(name)).otherwise(label)
-    return c.withColumn("label", label).withColumn("cost", real(F.col("best_s_per_min"))).where("cost >= 0")
-
-
 def _floors(spark: SparkSession, folder: str, side: str = "a") -> DataFrame:
     t = table(spark, folder, f"prv_floor_{side}").distinct()
     return t.select(F.lower(F.trim("record")).alias("record"), "session_id", F.round("coverage_target", 2).alias("coverage_target"), *[real(F.col(c).cast("double")).alias(c) for c in ("floor_rmse", "floor_mae", "n_intervals", "n_detectors")])
@@ -129,7 +117,7 @@ def x10_count_ratio(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a1_run_summary(spark: SparkSession, folder: str) -> DataFrame:
-    c = _costs(spark, folder)
+    c = costs(spark, folder)
     return _fine(c.groupBy("label").agg(F.count("*").alias("n_runs"), F.median("cost").alias("cost"), F.max("cost").alias("worst")))
 
 
@@ -138,7 +126,7 @@ def a2_leaderboard(spark: SparkSession, folder: str) -> DataFrame:
     place = F.lit(None).cast("int")
     for i, name in enumerate(ORDER):
         place = F.when(F.col("label") == name, F.lit(i)).otherwise(place)
-    g = _costs(spark, folder).where("label is not null").groupBy("label").agg(F.countDistinct("record").alias("n_records"), F.median("cost").alias("cost"))
+    g = costs(spark, folder).where("label is not null").groupBy("label").agg(F.countDistinct("record").alias("n_records"), F.median("cost").alias("cost"))
     ranked = g.withColumn("by_cost", F.rank().over(Window.orderBy(F.round("cost", 9))))  # seven labels
     return _fine(ranked.withColumn("place", place).orderBy("place"))
 
@@ -157,7 +145,7 @@ def a4_coverage_curve(spark: SparkSession, folder: str) -> DataFrame:
 def a5_pivot(spark: SparkSession, folder: str) -> DataFrame:
     """Median cost per activity, one column for each detector."""
     keys = list(de.REGISTRY)
-    c = _costs(spark, folder).withColumn("activity", F.element_at(F.split("record", "_"), -1))
+    c = costs(spark, folder).withColumn("activity", F.element_at(F.split("record", "_"), -1))
     return _fine(c.groupBy("activity").pivot("detector", keys).agg(F.median("cost")))
 
 
@@ -213,7 +201,7 @@ def a11_verify(spark: SparkSession, folder: str) -> DataFrame:
 
 def o3_best_run(spark: SparkSession, folder: str) -> DataFrame:
     """The cheapest run of each record; ties go to the lower run."""
-    c = _costs(spark, folder)
+    c = costs(spark, folder)
     return c.groupBy("record").agg(F.min(F.struct("cost", "run_id")).alias("m")).select("record", "m.run_id", "m.cost")
 
 
@@ -272,9 +260,7 @@ def st_adaptive_level(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (s2_page_heads, s6_csv_round_trip, s8_json_fields, x1_sweep, x2_fiducials, x5_motion, x10_count_ratio, a1_run_summary, a2_leaderboard, a3_correlation, a4_coverage_curve, a5_pivot, a6_comparison, a7_discrimination, a8_quantisation, a9_floor_summary, a10_agreement, a11_verify, o3_best_run, o4_top_records, o7_set_operations, g1_distinct_counts, st_tumbling, st_sliding, st_sessions, st_band_join, st_adaptive_level)}
 
-_LABELS = ", ".join(f"('{n}', {i})" for i, n in enumerate(ORDER))
-_C = f"""WITH lb(label, place) AS (VALUES {_LABELS}), c0 AS (SELECT DISTINCT run_id, record, detector, detector_label, run_day, best_s_per_min, median_s_per_min FROM detector_cost WHERE isfinite(best_s_per_min) AND best_s_per_min >= 0),
-c AS (SELECT c0.*, lb.label, lb.place, best_s_per_min AS cost, split_part(record, '_', -1) AS activity FROM c0 LEFT JOIN lb ON lower(trim(detector_label)) = lower(lb.label))"""
+_C = COST_SQL
 
 
 def _f(side: str) -> str:

@@ -9,6 +9,9 @@ from beatloom.functions.numbers import six
 from beatloom.operators import correction as cr
 from beatloom.operators import hrv
 from beatloom.operators import matching as ma
+from beatloom.operators.detectors import REGISTRY
+from beatloom.plans.costs import COST_SQL, costs
+from beatloom.session import written
 from beatloom.sources.adapters import RUN, SESSION, SQL, detected_beats, intervals, number, reference_beats, screened
 from beatloom.sources.tables import table
 
@@ -134,6 +137,33 @@ def l7_consensus_floor(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(ma.consensus_floor(_pairs(spark, folder), SESSION))
 
 
+def _run_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The result row of each run: counts, F1, the delay taken off, and the errors of its paired intervals."""
+    found = ma.with_delay(reference_beats(spark, folder).select(*SESSION, "ref_idx", F.col("t").alias("rt")), detected_beats(spark, folder), SESSION, RUN_ONLY, "lag_s")
+    lag = found.groupBy(*RUN).agg((F.min("lag_s") * 1000.0).alias("lag_ms"))
+    matches, ref, test = _matches(spark, folder)
+    matches = written(matches, "matches")  # read for the counts and for the intervals
+    counts = ma.detection_counts(matches, ref, test, SESSION, RUN_ONLY)
+    errors = ma.interval_error(ma.paired_intervals(matches, ref, test, SESSION, RUN_ONLY), RUN)
+    return counts.join(lag, RUN).join(errors, RUN, "left")
+
+
+def x1_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The result row of each run of the given detections."""
+    return _rounded(_run_rows(spark, folder))
+
+
+def a2_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaderboard: per detector label the records, medians over runs of F1 and interval errors, and the median cost of that label."""
+    label = F.lit(None).cast("string")
+    for key, (name, *_) in REGISTRY.items():
+        label = F.when(F.col("detector") == key, F.lit(name)).otherwise(label)
+    rows = _run_rows(spark, folder).withColumn("label", label)
+    g = rows.groupBy("label").agg(F.countDistinct("record").alias("n_records"), (100.0 * F.median("f1")).alias("f1_pct"), F.median("ibi_mae").alias("ibi_mae_ms"), F.median("ibi_rmse").alias("ibi_rmse_ms"))
+    cost = costs(spark, folder).groupBy("label").agg(F.median("cost").alias("cost_s_per_min"))
+    return _rounded(g.join(cost, "label", "left"))
+
+
 def c1_screen(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(cr.screen(intervals(spark, folder)).select(*RUN, "k", "ibi_s"))
 
@@ -195,6 +225,8 @@ QUERIES = {
     "l5_equivalence": l5_equivalence,
     "l6_hrv_error": l6_hrv_error,
     "l7_consensus_floor": l7_consensus_floor,
+    "x1_runs": x1_runs,
+    "a2_accuracy": a2_accuracy,
     "c1_screen": c1_screen,
     "c2_median_mad": c2_median_mad,
     "c3_adaptive": c3_adaptive,
@@ -244,7 +276,14 @@ _TD = """SELECT {k}, count(*) AS n, avg(v) AS mean_nn, stddev_samp(v) AS sdnn, s
 _COUNTS = _M + """, nt AS (SELECT record, session_id, detector, count(*) AS n_test FROM test GROUP BY ALL), nr AS (SELECT record, session_id, count(*) AS n_ref FROM ref GROUP BY ALL), tp AS (SELECT record, session_id, detector, count(*) AS tp FROM m GROUP BY ALL),
 c AS (SELECT record, session_id, detector, coalesce(tp, 0) AS tp, n_test, n_ref FROM nt JOIN nr USING (record, session_id) LEFT JOIN tp USING (record, session_id, detector))"""
 
+_RUNS = _COUNTS + _PI[len(_M) :] + """, lg AS (SELECT record, session_id, detector, 1000 * min(coalesce(CASE WHEN NOT isnan(lag_s) THEN lag_s END, delay)) AS lag_ms FROM det LEFT JOIN u_delay USING (record, session_id, detector) GROUP BY ALL),
+ie AS (SELECT record, session_id, detector, (pp_s - rr_s) * 1000 AS e FROM pi2), ig AS (SELECT record, session_id, detector, avg(abs(e)) AS ibi_mae, sqrt(avg(e * e)) AS ibi_rmse, avg(e) AS ibi_bias, stddev_samp(e) AS ibi_sd, count(*) AS n_ibi FROM ie GROUP BY ALL HAVING count(*) >= 2),
+rr AS (SELECT record, session_id, detector, tp, n_test - tp AS fp, n_ref - tp AS fn, tp / n_ref AS sensitivity, tp / n_test AS ppv, CASE WHEN tp > 0 THEN 2 * (tp / n_ref) * (tp / n_test) / (tp / n_ref + tp / n_test) END AS f1, lag_ms, ibi_mae, ibi_rmse, ibi_bias, ibi_sd, n_ibi FROM c JOIN lg USING (record, session_id, detector) LEFT JOIN ig USING (record, session_id, detector))"""
+
 ORACLES = {
+    "x1_runs": _RUNS + " SELECT record, session_id, detector, tp, fp, fn, n_ibi, " + ", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in ("sensitivity", "ppv", "f1", "lag_ms", "ibi_mae", "ibi_rmse", "ibi_bias", "ibi_sd")) + " FROM rr",
+    "a2_accuracy": _RUNS + ", lbl(detector, label) AS (VALUES " + ", ".join(f"('{k}', '{v[0]}')" for k, v in REGISTRY.items()) + f"""), ag AS (SELECT label, count(DISTINCT record) AS n_records, 100 * median(f1) AS f1_pct, median(ibi_mae) AS ibi_mae_ms, median(ibi_rmse) AS ibi_rmse_ms FROM rr JOIN lbl USING (detector) GROUP BY ALL)
+SELECT label, n_records, round(f1_pct, 6) AS f1_pct, round(ibi_mae_ms, 6) AS ibi_mae_ms, round(ibi_rmse_ms, 6) AS ibi_rmse_ms, round(cost, 6) AS cost_s_per_min FROM ag LEFT JOIN ({COST_SQL} SELECT label, median(cost) AS cost FROM c GROUP BY ALL) USING (label)""",
     "j3_nearest": _PAIRS + """, d AS (SELECT r.record, r.session_id, t.detector, r.ref_idx, t.test_idx, round(abs(t.tt - r.t), 9) AS distance, t.tt FROM ref r JOIN test t ON r.record = t.record AND r.session_id = t.session_id)
 SELECT record, session_id, detector, ref_idx, test_idx, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY record, session_id, detector, ref_idx ORDER BY distance, tt, test_idx) = 1""",
     "x9_agreement": _COUNTS + " SELECT detector, count(*) AS n_runs, round(avg(least(tp / n_ref, tp / n_test)), 6) AS agreement, avg(least(tp / n_ref, tp / n_test)) >= 0.90 AS good FROM c GROUP BY ALL",
