@@ -176,8 +176,7 @@ c{i + 1} AS (SELECT * FROM c{i} ANTI JOIN t{i} USING (record, session_id, detect
     return out + " " + " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(n))
 
 
-ORACLES = {
-    "p1_found": """
+_P1 = """
 WITH l AS (SELECT DISTINCT record, session_id, detector, test_idx, CAST(round(t * 1e6) AS BIGINT) AS l, CAST(round(lag_s * 1e6) AS BIGINT) AS delay FROM det_beats WHERE t IS NOT NULL AND test_idx IS NOT NULL),
 r AS (SELECT DISTINCT record, session_id, ref_idx, CAST(round(t * 1e6) AS BIGINT) AS r FROM ref_beats WHERE t IS NOT NULL AND ref_idx IS NOT NULL),
 p AS (SELECT l.record, l.session_id, l.detector, l.l - r.r AS d FROM l JOIN r ON l.record = r.record AND l.session_id = r.session_id AND l.l - r.r BETWEEN -50000 AND 650000 WHERE delay IS NULL),
@@ -186,7 +185,11 @@ s AS (SELECT *, sum(n) OVER (PARTITION BY record, session_id, detector ORDER BY
 m0 AS (SELECT record, session_id, detector, (bin + 0.5) * 5000 AS m FROM s WHERE (bin + 0.5) * 5000 BETWEEN 0 AND 605000 QUALIFY row_number() OVER (PARTITION BY record, session_id, detector ORDER BY many DESC, bin) = 1),
 m1 AS (SELECT record, session_id, detector, avg(d) AS m FROM p JOIN m0 USING (record, session_id, detector) WHERE abs(d - m) <= 50000 GROUP BY ALL),
 m2 AS (SELECT record, session_id, detector, avg(d) AS m FROM p JOIN m1 USING (record, session_id, detector) WHERE abs(d - m) <= 40000 GROUP BY ALL),
-m3 AS (SELECT record, session_id, detector, CAST(round(avg(d)) AS BIGINT) AS m FROM p JOIN m2 USING (record, session_id, detector) WHERE abs(d - m) <= 40000 GROUP BY ALL),
+m3 AS (SELECT record, session_id, detector, CAST(round(avg(d)) AS BIGINT) AS m FROM p JOIN m2 USING (record, session_id, detector) WHERE abs(d - m) <= 40000 GROUP BY ALL)"""
+
+ORACLES = {
+    "p1_found": _P1
+    + """,
 a AS (SELECT record, session_id, detector, test_idx, l - coalesce(delay, m) AS at FROM l LEFT JOIN m3 USING (record, session_id, detector)),
 c0 AS (SELECT a.record, a.session_id, a.detector, r.ref_idx, a.test_idx, abs(a.at - r.r) AS d FROM a JOIN r ON a.record = r.record AND a.session_id = r.session_id AND a.at - r.r BETWEEN -150000 AND 150000)"""
     + _rounds(6),
@@ -196,6 +199,12 @@ k AS (SELECT label, value, n / 50 AS w FROM q JOIN (SELECT unnest(range(1, 51))
 s AS (SELECT label, value, sum(sum(w)) OVER (PARTITION BY label ORDER BY value) AS upto FROM k GROUP BY label, value),
 t AS (SELECT label, count(*) AS n FROM cost GROUP BY ALL), h AS (SELECT *, unnest([0.1e0, 0.5e0, 0.9e0, 0.99e0]) AS share FROM t)
 SELECT h.label, h.n, h.share, round(min(s.value), 9) AS value, 0.02e0 AS rank_error FROM h JOIN s ON h.label IS NOT DISTINCT FROM s.label AND s.upto >= h.share * h.n - 1e-6 GROUP BY ALL""",
+    "p1_nearest_every_run": _P1
+    + """,
+q AS (SELECT DISTINCT d.record, d.session_id, d.detector, d.test_idx, t - coalesce(CASE WHEN NOT isnan(lag_s) THEN lag_s END, m3.m / 1e6, 0) AS at FROM det_beats d LEFT JOIN m3 USING (record, session_id, detector) WHERE t IS NOT NULL AND d.test_idx IS NOT NULL),
+k AS (SELECT DISTINCT record, session_id, ref_idx, t FROM ref_beats WHERE ref_idx IS NOT NULL AND t IS NOT NULL),
+j AS (SELECT q.record, q.session_id, q.detector, q.test_idx, k.ref_idx, round(abs(q.at - k.t), 9) AS d FROM q JOIN k ON q.record = k.record AND q.session_id = k.session_id AND k.t BETWEEN q.at - 0.150000001 AND q.at + 0.150000001)
+SELECT record, session_id, detector, test_idx, ref_idx, round(d, 6) AS distance FROM j QUALIFY row_number() OVER (PARTITION BY record, session_id, detector, test_idx ORDER BY d, ref_idx) = 1""",
     "p1_nearest": """
 WITH l AS (SELECT DISTINCT record, session_id, detector, test_idx, t - lag_s AS at FROM det_beats WHERE lag_s IS NOT NULL AND t IS NOT NULL AND test_idx IS NOT NULL),
 r AS (SELECT DISTINCT record, session_id, ref_idx, t FROM ref_beats WHERE ref_idx IS NOT NULL AND t IS NOT NULL),

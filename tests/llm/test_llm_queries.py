@@ -18,5 +18,5 @@ def test_query(spark, folder, name):
     if name in queries.ORACLES:
         assert rows_of(df) == rows_of_sql(duck(folder), queries.ORACLES[name])
     else:
-        n = df.count()
-        assert n >= 0 and (not name.endswith("_found") or n == df.distinct().count())
+        rows = df.collect()
+        assert rows and len({tuple(map(str, r)) for r in rows}) == len(rows)
