@@ -215,3 +215,57 @@ def test_files(spark, tmp_path):
     assert status == {"a.dat": "ok", "b.dat": "differs", "c.dat": "missing"}
     files.write_json(spark.range(3), str(tmp_path / "out"))
     assert files.read_json(spark, str(tmp_path / "out"), "id long").count() == 3
+
+
+@pytest.mark.parametrize("n", [1, 5, 60, 91, 300])
+def test_rolling_quartiles_against_one_by_one(n):
+    from beatloom.operators.correction import _quartile_deviation
+
+    x = np.random.default_rng(n).normal(size=n)
+    want = [max(float(np.subtract(*np.quantile(np.abs(x[max(0, i - 45) : i + 46]), [0.75, 0.25]))) / 2, 1e-6) for i in range(n)]
+    assert np.allclose(_quartile_deviation(x), want)
+
+
+def test_a_level_leaves_no_trace_at_the_ends(spark):
+    """A constant of 74,000 comes out as 0 from decimation and resampling, and a wave keeps its size beside it."""
+    flat = spark.range(500).select(F.lit("s").alias("s"), F.col("id").alias("i"), F.lit(100.0).alias("fs"), F.lit(74_000.0).alias("x"))
+    for out in (co.decimate(flat, ["s"], 5), co.resample(flat, ["s"], 2, 5), co.to_rate(flat, ["s"], 30.0, [100.0])):
+        assert max(abs(r["x"]) for r in out.collect()) < 1e-6
+    wave = flat.withColumn("x", F.col("x") + 150 * F.sin(F.col("i") / 16))
+    assert all(abs(r["x"]) < 160 for r in co.decimate(wave, ["s"], 5).collect())
+
+
+def test_to_rate_takes_every_rate(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("s"), F.floor(F.col("id") / 2).alias("i"), F.when(F.col("id") % 2 == 0, 50.0).otherwise(125.0).alias("fs"), F.rand(1).alias("x"))
+    got = {r["s"]: r["count"] for r in co.to_rate(df, ["s"], 100.0, [50.0, 125.0]).groupBy("s").count().collect()}
+    assert got == {0: 1000, 1: 400}
+
+
+@pytest.mark.parametrize("fs", [64, 100, 128, 200, 256])
+def test_terma_at_any_rate(spark, fs):
+    """One beat a second for 20 s: as many peaks at every rate."""
+    t = F.col("id") / fs
+    wave = spark.range(20 * fs).select(F.lit("s").alias("s"), F.col("id").alias("i"), F.lit(float(fs)).alias("fs"), F.exp(-0.5 * F.pow((t - F.floor(t) - 0.5) / 0.06, F.lit(2))).alias("x"))
+    assert de.terma(co.normalise(wave, ["s"]), ["s"]).count() == 20
+
+
+def test_entropy_needs_spread_and_ten_intervals(spark):
+    rows = [("flat", n, 0.85) for n in range(50)] + [("few", n, 0.8 + 0.05 * (n % 2)) for n in range(9)] + [("ten", n, 0.8 + 0.05 * (n % 2)) for n in range(10)]
+    got = {r["s"]: r["sampen"] for r in hrv.sample_entropy(spark.createDataFrame(rows, "s string, n long, ibi_s double"), ["s"]).collect()}
+    assert got["flat"] is None and got["few"] is None and got["ten"] is not None
+
+
+def test_delay_needs_three_references(spark):
+    ref = lambda k: spark.createDataFrame([("e", i, float(i)) for i in range(k)], "e string, ref_idx long, rt double")
+    test = spark.createDataFrame([("e", "d", float(i) + 0.25) for i in range(4)], "e string, d string, tt double")
+    delay = lambda k: ma.grid_delay(ref(k), test, ["e"], ["d"]).collect()[0]["delay"]
+    assert delay(2) == 0.0 and delay(0) == 0.0 and abs(delay(3) - 0.25) < 1e-6
+
+
+def test_samples_stay_on_their_grid(spark, tmp_path):
+    rows = [("r", 1, "c", 100.0, i, x) for i, x in [(1, 10.0), (2, 20.0), (4, 40.0), (5, None), (6, 0.0), (7, 70.0), (7, 70.0), (9, 262143.0)]]
+    spark.createDataFrame(rows, "record string, session_id long, channel string, fs double, i long, x double").write.parquet(str(tmp_path / "ppg_samples.parquet"))
+    from beatloom.sources.adapters import signal
+
+    got = [(r["i"], r["x"]) for r in signal(spark, str(tmp_path)).orderBy("i").collect()]
+    assert got == [(0, 10.0), (1, 10.0), (2, 20.0), (3, 30.0), (4, 40.0), (5, 50.0), (6, 60.0), (7, 70.0)]
