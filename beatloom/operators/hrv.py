@@ -90,14 +90,18 @@ def dfa_alpha1(df: DataFrame, keys: list[str], scales: tuple[int, int] = (4, 16)
     return fluct.groupBy(*keys).agg(F.count("*").alias("n_scales"), F.regr_slope(F.log("__f"), F.log("__s")).alias("slope")).select(*keys, "n_scales", F.when(F.col("n_scales") >= 3, F.col("slope")).alias("dfa_alpha1"))
 
 
-def lomb_scargle(df: DataFrame, keys: list[str], low: float = 0.01, high: float = 0.5, steps: int = 500, least: int = 20, span_s: float = 60.0) -> DataFrame:
-    """Power at ``steps`` even frequencies of the centred intervals at times cumsum(ibi): ``keys``, ``f``, ``p`` (x 2 / N)."""
+def lomb_scargle(df: DataFrame, keys: list[str], low: float = 0.01, high: float = 0.5, steps: int = 500, least: int = 20, span_s: float = 60.0, below: float | None = None) -> DataFrame:
+    """Power at ``steps`` even frequencies of the centred intervals at times cumsum(ibi): ``keys``, ``f``, ``p`` (x 2 / N).
+
+    With ``below``, those from there on, which no band holds, are not computed.
+    """
     whole = Window.partitionBy(*keys)
     ordered = whole.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     timed = df.select(*keys, "n", "ibi_s", F.sum("ibi_s").over(ordered).alias("t"))
     ready = timed.select(*keys, "t", ((F.col("ibi_s") - F.avg("ibi_s").over(whole)) * 1000.0).alias("v"), F.count("*").over(whole).alias("many"), (F.max("t").over(whole) - F.min("t").over(whole)).alias("span"))
     step = (high - low) / (steps - 1)
-    waves = ready.where((F.col("many") >= least) & (F.col("span") >= span_s)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("f", F.lit(low) + F.col("q") * F.lit(step))
+    last = steps - 1 if below is None else min(steps - 1, math.ceil((below - low) / step))
+    waves = ready.where((F.col("many") >= least) & (F.col("span") >= span_s)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(last)))).withColumn("f", F.lit(low) + F.col("q") * F.lit(step))
     angle = F.lit(2 * math.pi) * F.col("f") * F.col("t")
     c, s, v = F.cos("a"), F.sin("a"), F.col("v")
     sums = waves.withColumn("a", angle).groupBy(*keys, "f").agg(F.count("*").alias("many"), F.sum(v * c).alias("vc"), F.sum(v * s).alias("vs"), F.sum(c * c).alias("cc"), F.sum(s * s).alias("ss"), F.sum(s * c).alias("sc"))
@@ -122,7 +126,7 @@ def band_power(spectrum: DataFrame, keys: list[str]) -> DataFrame:
 
 def all_indices(df: DataFrame, keys: list[str]) -> DataFrame:
     """Every index of a series in one row; spectral ones have the suffix ``_ls``."""
-    spectral = band_power(lomb_scargle(df, keys), keys).withColumnsRenamed({c: f"{c}_ls" for c in ("lf", "hf", "total_power", "lf_hf")})
+    spectral = band_power(lomb_scargle(df, keys, below=TOTAL[1]), keys).withColumnsRenamed({c: f"{c}_ls" for c in ("lf", "hf", "total_power", "lf_hf")})
     return (
         time_domain(df, keys)
         .join(poincare(df, keys).drop("n_intervals"), keys, "left")

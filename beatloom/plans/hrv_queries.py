@@ -22,7 +22,7 @@ def h11_lomb_scargle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def h12_band_power(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(hrv.band_power(hrv.lomb_scargle(screened(spark, folder), RUN), RUN))
+    return _rounded(hrv.band_power(hrv.lomb_scargle(screened(spark, folder), RUN, below=hrv.TOTAL[1]), RUN))
 
 
 QUERIES = {
