@@ -117,3 +117,15 @@ def test_only_the_nearest_of_a_tick_is_kept(spark):
     rows = [("e", i, t) for i, t in enumerate([10, 20, 30, 110, 110, 150, 210, 220, 290])]
     ticks = nearest.nearest_ticks(spark.createDataFrame(rows, "e string, __rid long, __r long"), ["e"], 100, 100).collect()
     assert sorted((r["__rid"], r["__r"]) for r in ticks if r[nearest.TICK] == 1) == [(2, 30), (3, 110), (5, 150), (6, 210)]
+
+
+def test_runs_without_a_delay_are_like_the_one_that_states_it(spark, tmp_path):
+    from beatloom.llm.queries import p1_nearest_every_run
+
+    t = [0.85 * i + 0.05 * (i % 7) for i in range(60)]
+    spark.createDataFrame([("r", "s", i, v) for i, v in enumerate(t)], "record string, session_id string, ref_idx long, t double").write.parquet(f"{tmp_path}/ref_beats.parquet")
+    lags = {"stated": 0.25, "null": None, "nan": float("nan")}
+    rows = [("r", "s", d, i, v + 0.25, lag) for d, lag in lags.items() for i, v in enumerate(t)]
+    spark.createDataFrame(rows, "record string, session_id string, detector string, test_idx long, t double, lag_s double").write.parquet(f"{tmp_path}/det_beats.parquet")
+    n = {r["detector"]: r["count"] for r in p1_nearest_every_run(spark, str(tmp_path)).groupBy("detector").count().collect()}
+    assert n == dict.fromkeys(lags, 60)
